@@ -27,3 +27,56 @@ def op7_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     ratios = quality.fit(docs, quality.trusted_ids(table(spark, sf_dir, "labels")))
     return quality.score(docs, ratios)
+
+
+#: Rules of op3 as (host, path, verdict).
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+_URL_SQL = f"""
+    WITH cut AS (
+      SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    p AS (
+      SELECT page_id, lower(regexp_extract(rest, '^([^/?#]*)', 1)) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+    r(rh, rp, v) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+    hit AS (
+      SELECT page_id, rh || rp AS rule, v,
+             row_number() OVER (PARTITION BY page_id ORDER BY length(rh) + length(rp) DESC, length(rh) DESC) AS n
+      FROM p JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+    SELECT p.page_id, p.host, p.path, h.rule AS rule, coalesce(h.v, 'allow') AS verdict
+    FROM p LEFT JOIN hit h ON p.page_id = h.page_id AND h.n = 1"""
+
+
+@query(sql=_URL_SQL)
+def op3_url_filters(spark, sf_dir):
+    from quillon.llm import urls
+
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge(table(spark, sf_dir, "pages"), rules)
+
+
+@query
+def op5_byte_level_bpe(spark, sf_dir):
+    from quillon.llm import bpe
+
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_secret_scans(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from quillon.llm import secrets
+
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    of = lambda k: F.size(F.filter("base", lambda c: c.kind == k)).cast("long")
+    order = lambda a, b: F.when(a.start != b.start, a.start - b.start).otherwise(a.kind - b.kind)
+    return found.select(
+        "doc_id",
+        of(0).alias("n_assign"),
+        of(1).alias("n_access"),
+        of(2).alias("n_hex"),
+        F.sha2(secrets.span_text(F.col("base")), 256).alias("base_sha256"),
+        secrets.span_text(F.array_sort(F.concat("base", "added"), order)).alias("spans"),
+        "n_live",
+        "n_copied",
+    )
