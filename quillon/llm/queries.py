@@ -80,3 +80,14 @@ def op8_secret_scans(spark, sf_dir):
         "n_live",
         "n_copied",
     )
+
+
+@query
+def op10_mixing_sources(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from quillon.llm import mixture
+
+    p = mixture.plan(table(spark, sf_dir, "documents"))
+    shards = F.transform("draws", lambda x: x["shard"]).alias("shards")
+    return p.select("doc_id", "source", "size", "source_size", "target", (F.size("draws") * F.col("size")).cast("long").alias("taken"), shards)
