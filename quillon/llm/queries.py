@@ -91,3 +91,22 @@ def op10_mixing_sources(spark, sf_dir):
     p = mixture.plan(table(spark, sf_dir, "documents"))
     shards = F.transform("draws", lambda x: x["shard"]).alias("shards")
     return p.select("doc_id", "source", "size", "source_size", "target", (F.size("draws") * F.col("size")).cast("long").alias("taken"), shards)
+
+
+@query
+def op1_language_id(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from quillon.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(langid.remainder(4) == 2, F.lit(False))
+    found = langid.predict(docs, langid.fit(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op2_document_fingerprints(spark, sf_dir):
+    from quillon.llm import fingerprints
+
+    return fingerprints.probe(table(spark, sf_dir, "documents"))
