@@ -132,3 +132,13 @@ def op4_ngram_jaccard_join(spark, sf_dir):
     from quillon.llm import jaccard
 
     return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_lm_scoring(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from quillon.llm import ngram_lm
+
+    held_out = F.coalesce(ngram_lm.remainder(7) == 2, F.lit(False))
+    return ngram_lm.score(table(spark, sf_dir, "documents"), ~held_out)
