@@ -142,3 +142,10 @@ def op6_lm_scoring(spark, sf_dir):
 
     held_out = F.coalesce(ngram_lm.remainder(7) == 2, F.lit(False))
     return ngram_lm.score(table(spark, sf_dir, "documents"), ~held_out)
+
+
+@query
+def op9_substring_dedup(spark, sf_dir):
+    from quillon.llm import passages
+
+    return passages.repeated(table(spark, sf_dir, "documents"))
