@@ -164,7 +164,8 @@ def survey(docs: DataFrame, shards: int, params: LmParams) -> tuple[np.ndarray,
                 h = hashes(t.lower().split())
                 if good:
                     train += len(h) + 1
-                    low = np.union1d(low, h[h < low[-1]] if len(low) == params.sketch else h)[: params.sketch]
+                    new = h[h < low[-1]] if len(low) == params.sketch else h
+                    low = np.union1d(low, new)[: params.sketch] if len(new) else low
                 held += [h, np.array([BEGIN])]
                 size += len(h) + 1
                 if size >= 4_000_000:
@@ -175,7 +176,8 @@ def survey(docs: DataFrame, shards: int, params: LmParams) -> tuple[np.ndarray,
         yield rows("low", low ^ sign, np.ones(len(low)))
         yield rows("train", np.zeros(1, np.int64), np.array([train]))
 
-    counted = docs.select("text", "train").mapInArrow(run, "kind string, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
+    found = docs.select("text", "train").mapInArrow(run, "kind string, h long, n long")
+    counted = written(found.groupBy("kind", "h").agg(F.sum("n").alias("n")), "lm-survey")
     top = counted.where("kind = 'word'").orderBy(F.desc("n"), "h").limit(params.hot)
     smallest = counted.where("kind = 'low'").orderBy("h").limit(params.sketch)
     got = counted.where("kind = 'train'").union(top).union(smallest).collect()
