@@ -44,16 +44,17 @@ def redistribute(seeds: list[dict], floor: float = 0.01) -> list[dict]:
     if they have no size; the last unlocked one takes what rounding leaves. A handful of numbers: this runs where the user is.
     """
     free = [s for s in seeds if not s.get("locked")]
+    last = max((i for i, s in enumerate(seeds) if not s.get("locked")), default=-1)
     budget = max(0.0, 1.0 - sum(abs(s["weight"]) for s in seeds if s.get("locked")))
     total = sum(abs(s["weight"]) for s in free)
     out, left = [], budget
     songs = any(s.get("kind") == "SONG" for s in seeds)
-    for s in seeds:
+    for i, s in enumerate(seeds):
         if s.get("locked"):
             out.append(dict(s))
             continue
         least = 0.0 if s.get("kind") == "TEXT" and songs else min(floor, budget / max(1, len(free)))
-        share = left if s is free[-1] else (budget / len(free) if total <= 0.001 else max(least, budget * abs(s["weight"]) / total))
+        share = left if i == last else (budget / len(free) if total <= 0.001 else max(least, budget * abs(s["weight"]) / total))
         share = max(0.0, min(share, left))
         left -= share
         out.append(dict(s, weight=share if s["weight"] >= 0 else -share))

@@ -15,13 +15,10 @@ from quillon.operators import knn, store
 def latest_state(stream: DataFrame, key: str = "user_id", ts: str = "ts", value: str = "event_type") -> DataFrame:
     """key, ts, value, changes: the latest event of each key so far, told again whenever it changes; late events never take it back.
 
-    State is one small row a key; it is dropped after an hour without events.
+    State is one small row a key and lasts as long as the stream.
     """
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         at, v, n = state.get if state.exists else (None, None, 0)
         changed = False
         for pdf in parts:
@@ -30,13 +27,12 @@ def latest_state(stream: DataFrame, key: str = "user_id", ts: str = "ts", value:
             if at is None or t > at:
                 at, v, n, changed = t, pdf["__v"][i], n + 1, True
         state.update((at, v, n))
-        state.setTimeoutDuration(3_600_000)
         if changed:
             yield pd.DataFrame({key: [k[0]], "ts_us": [at], "value": [v], "changes": [n]})
 
     rows = stream.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("__t"), F.col(value).cast("string").alias("__v"))
     kind = dict(stream.dtypes)[key]
-    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, ts_us long, value string, changes long", "at long, v string, n long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, ts_us long, value string, changes long", "at long, v string, n long", "update", GroupStateTimeout.NoTimeout)
 
 
 def windowed_counts(stream: DataFrame, ts: str = "ts", late: str = "10 minutes", length: str = "1 hour", keys: tuple[str, ...] = ("event_type",)) -> DataFrame:
