@@ -9,33 +9,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import bpe, jaccard, mixture, quality, secrets
-from quillon.llm.common import written
+from quillon.llm.common import small_batches, written
 from quillon.session import table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; the target is what labels call good, the raw side all of docs."""
+    small_batches(spark)
     ratios = quality.fit(docs, quality.trusted_ids(table(spark, sf_dir, "labels")))
     return quality.keep(docs, ratios)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of documents that the n-gram Jaccard join links, the one with the least doc_id."""
+    small_batches(spark)
     return jaccard.representatives(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in their texts replaced by a mark and n_chars as the text is then."""
+    small_batches(spark)
     return secrets.redact(docs)
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of the sources takes them, dealt out to shards and shuffled within."""
+    small_batches(spark)
     return mixture.mix(docs)
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, digests and packed token ids of every document of the mix."""
+    small_batches(spark)
     return bpe.round_trip(docs, packed=True)
 
 

@@ -50,6 +50,21 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows: with Spark's 10,000, batches of long texts would fill the workers' memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def labels(spark: SparkSession, n: int) -> list[int]:
+    """n numbers that Spark's hash partitioning deals to n different partitions."""
+    rows = spark.range(n * 40).select(F.col("id").cast("int").alias("id")).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("at")).agg(F.min("id").alias("id"))
+    found = {r["at"]: r["id"] for r in rows.collect()}
+    spare = iter(range(n * 40, n * 41))
+    return [found[i] if i in found else next(spare) for i in range(n)]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

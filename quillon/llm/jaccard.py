@@ -3,14 +3,15 @@
 1. Documents with equal sets fall into one node (aggregated by a hash of the set), so copies are never paired.
 2. Two sets with Jaccard likeness t share one of the first |S| - ceil(t |S|) + 1 shingles of each in any common order; the order
    puts the corpus's most frequent shingles last. Nodes that share such a shingle are a group.
-3. Each node is checked against one partner, the least node of its groups with which it shares most; these links already
-   join what is near one leader, in linear work. Groups whose nodes are all joined by now are done.
+3. In a few rounds each node is checked against one partner outside its component: a member, drawn by a hash, of the largest
+   component in one of its groups, that with which it shares most. That is linear work and joins nearly all that is alike.
+   Groups whose nodes are all of one component are done.
 4. What is left goes through signature trees: token bitmaps, combined by OR up the tree with ranges of sizes. A dual
    traversal drops pairs of tree nodes that are of one component, whose sizes don't fit, or whose largest possible overlap is
    too small; pairs of documents that remain are checked on their full sets. Large groups are cut into blocks, and a tree pair is
    one pair of blocks.
 
-Sets are moved only for nodes that share a group. All checks are exact.
+Sizes and bitmaps come before sets: a set is made again from its text, and moved, only for a pair that they let pass. All checks are exact.
 """
 
 from __future__ import annotations
@@ -32,13 +33,13 @@ LOW = -(1 << 63)
 @dataclass(frozen=True)
 class JaccardParams:
     """words of a shingle; percent: least Jaccard likeness of a link; frequent: so many of the most frequent shingles are ordered last (speed
-    only); block: nodes of a group that one tree holds; leaf: nodes below which pairs are tested directly."""
+    only); block: nodes of a group that one tree holds; rounds: of checks against single partners, before trees take what is left."""
 
     words: int = 5
     percent: int = 80
-    frequent: int = 20_000
+    frequent: int = 200_000
     block: int = 1024
-    leaf: int = 32
+    rounds: int = 4
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -46,9 +47,9 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(shingles(hashes(text.lower().split()), words))
 
 
-def frequent_shingles(docs: DataFrame, params: JaccardParams) -> np.ndarray:
-    """Sorted hashes of the shingles that stand in most documents. Tasks add up their documents' sets and pass on what they
-    met more than once."""
+def frequent_shingles(docs: DataFrame, params: JaccardParams) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the shingles that stand in most documents, and the rank of each, the most frequent last. Tasks add up their
+    documents' sets and pass on what they met more than once."""
     schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 
     def run(parts):
@@ -69,13 +70,16 @@ def frequent_shingles(docs: DataFrame, params: JaccardParams) -> np.ndarray:
             yield flush()
 
     counted = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "h").limit(params.frequent).select("h").toPandas()["h"].to_numpy(np.int64)
-    return np.sort(top.view(np.uint64))
+    top = counted.orderBy(F.desc("n"), "h").limit(params.frequent).toPandas()
+    h = top["h"].to_numpy(np.int64).view(np.uint64)
+    at = np.argsort(h)
+    # rarer ones first: they come in descending order
+    return h[at], (len(h) - 1 - at).astype(np.int64)
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Token bitmap of a set, of the power of two of bits (512 to 16,384) from twice its size on."""
-    width = min(1 << 14, max(512, 1 << int(2 * len(s) - 1).bit_length()))
+    """Token bitmap of a set, of the power of two of bits (512 to 16,384) from four times its size on."""
+    width = min(1 << 14, max(512, 1 << int(4 * len(s) - 1).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -176,54 +180,169 @@ def candidates(node: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: list[byt
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def basis(docs: DataFrame, order: np.ndarray, params: JaccardParams) -> DataFrame:
-    """doc_id, n, node (hash of the set; null if empty), prefix of every document; written."""
+BASE = "doc_id long, n long, node long, bits binary, last array<long>, shard int, tokens binary, nodes binary"
+BASE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bits", pa.binary()), ("last", pa.list_(pa.int64())), ("shard", pa.int32()), ("tokens", pa.binary()), ("nodes", pa.binary())])
+
+
+def node_of(s: np.ndarray) -> int:
+    return xxh3_64_intdigest(s.tobytes()) + LOW
+
+
+def basis(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], shards: int, params: JaccardParams) -> DataFrame:
+    """One pass over the texts; written. Rows of two kinds:
+
+    * with shard null, a document: doc_id, n, node (hash of the set; null if empty), bits, and last: the prefix's frequent shingles;
+    * with a shard, packed (token, node) pairs: the prefixes' other shingles, sorted. A task tells a node's prefix once.
+    """
     held = docs.sparkSession.sparkContext.broadcast(order)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
     def run(parts):
-        last = held.value
+        tail, rank = held.value
+        told, tokens, owners, size = set(), [], [], 0
+
+        def flush():
+            t, o = np.concatenate(tokens), np.repeat(np.array([x for x, _ in owners], np.int64), [n for _, n in owners])
+            at = np.argsort(t, kind="stable")
+            t, o = t[at], o[at]
+            cuts = np.searchsorted((t >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1))
+            rows = [(None, None, None, None, None, k, t[i:j].tobytes(), o[i:j].tobytes()) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j]
+            return batch(rows, BASE_SCHEMA)
+
         for part in parts:
             rows = []
             for i, t in zip(part.column(0).to_pylist(), texts(part.column(1)), strict=True):
                 s = shingle_set(t, params.words)
                 if not len(s):
-                    rows.append((i, 0, None, None))
+                    rows.append((i, 0, *[None] * 6))
                     continue
-                frequent = np.zeros(len(s), bool)
-                if len(last):
-                    frequent = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
-                n = len(s) - -(-params.percent * len(s) // 100) + 1
-                rows.append((i, len(s), xxh3_64_intdigest(s.tobytes()) + LOW, np.concatenate([s[~frequent], s[frequent]])[:n].view(np.int64)))
-            yield batch(rows, schema)
+                node, last = node_of(s), None
+                if node not in told:
+                    told.add(node)
+                    often = np.zeros(len(s), bool)
+                    if len(tail):
+                        at = np.minimum(np.searchsorted(tail, s), len(tail) - 1)
+                        often = tail[at] == s
+                    n = len(s) - -(-params.percent * len(s) // 100) + 1
+                    rare = s[~often][:n]
+                    if len(rare) < n:
+                        last = s[often][np.argsort(rank[at[often]])][: n - len(rare)].view(np.int64)
+                    tokens.append(rare)
+                    owners.append((node, len(rare)))
+                    size += len(rare)
+                rows.append((i, len(s), node, bitmap(s), last, None, None, None))
+            yield batch(rows, BASE_SCHEMA)
+            if size > 1_000_000:
+                yield flush()
+                told, tokens, owners, size = set(), [], [], 0
+        if size:
+            yield flush()
 
-    return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, node long, prefix array<long>"), "sets")
+    return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, BASE), "sets")
 
 
-def full_sets(docs: DataFrame, nodes: DataFrame, params: JaccardParams) -> DataFrame:
-    """node, n, shingles, bits of the given (node, label); label is the doc_id of one of the node's documents. Written.
+def shared_tokens(base: DataFrame) -> DataFrame:
+    """token, node, star (least node of the token), size (its nodes) of the tokens that two or more prefixes hold; written.
 
-    Rows that share a doc_id may give other nodes besides, or a node twice; neither changes which pairs are linked.
+    The frequent shingles, of which one may be in any share of all prefixes, go through plain joins; the others, whose nodes are few, are
+    matched a shard at a time.
     """
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64())), ("bits", pa.binary())])
+    schema = pa.schema([(c, pa.int64()) for c in ("token", "node", "star", "size")])
+
+    def match(table: pa.Table) -> pa.Table:
+        t = np.concatenate([np.frombuffer(x, np.int64) for x in table["tokens"].to_pylist()])
+        o = np.concatenate([np.frombuffer(x, np.int64) for x in table["nodes"].to_pylist()])
+        at = np.lexsort((o, t))
+        t, o = t[at], o[at]
+        new = np.ones(len(t), bool)
+        new[1:] = (t[1:] != t[:-1]) | (o[1:] != o[:-1])
+        t, o = t[new], o[new]
+        first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+        n = np.diff(np.append(first, len(t)))
+        many = np.repeat(n > 1, n)
+        return pa.Table.from_arrays([pa.array(t[many]), pa.array(o[many]), pa.array(np.repeat(o[first], n)[many]), pa.array(np.repeat(n, n)[many])], schema=schema)
+
+    rare = base.where("shard IS NOT NULL").select("shard", "tokens", "nodes").groupBy("shard").applyInArrow(match, "token long, node long, star long, size long")
+    often = base.where("last IS NOT NULL").select("node", F.explode("last").alias("token")).distinct()
+    tokens = often.groupBy("token").agg(F.min("node").alias("star"), F.count("*").alias("size")).where("size > 1")
+    return written(rare.unionByName(often.join(tokens, "token")), "shared")
+
+
+def verified(pairs: DataFrame, labels: DataFrame, docs: DataFrame, params: JaccardParams) -> DataFrame:
+    """Of distinct pairs (a, b) those that are linked; written.
+
+    The pairs of a are cut into parts of ``block`` at most; a's set goes to each part, b's to its own, in one shuffle. A document of each node
+    is read again for its set. labels: node, label (the doc_id of one of its documents); rows that share a doc_id may bring sets
+    that nothing asks for, which are passed over.
+    """
+    spark = docs.sparkSession
+    pairs = written(pairs.select("a", "b"), "pairs")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / params.block).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    to = F.struct("a", "part")
+    goals = dealt.select(F.col("b").alias("node"), to.alias("to")).union(parts.select("a", "parts").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(F.col("a").alias("node"), to.alias("to")))
+    goals = goals.groupBy("node").agg(F.collect_list("to").alias("to")).join(labels, "node").select(F.col("label").alias("id"), "node", "to")
+    goals = written(goals, "goals")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)).alias("id"), "text").join(sized(goals), "id").select("text", "node", "to")
+    schema = pa.schema([("a", pa.int64()), ("part", pa.int32()), ("b", pa.int64()), ("leader", pa.bool_()), ("shingles", pa.binary())])
+
+    def send(batches_):
+        for part in batches_:
+            out = []
+            for t, node, to_ in zip(texts(part.column(0)), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                s = shingle_set(t, params.words)
+                if node == node_of(s):
+                    out += [(x["a"], x["part"], node, node == x["a"], s.tobytes()) for x in to_]
+            yield batch(out, schema)
+
+    links = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def check(batches_):
+        now, lead = None, None
+        for part in batches_:
+            out = []
+            for a, k, b, leader, data in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                s = np.frombuffer(data, np.uint64)
+                if leader:
+                    now, lead = (a, k), s
+                elif now == (a, k):
+                    both = np.concatenate([lead, s])
+                    both.sort(kind="stable")
+                    shared = int((both[1:] == both[:-1]).sum())
+                    if 100 * shared >= params.percent * (len(both) - shared):
+                        out.append((a, b))
+            yield batch(out, links)
+
+    sent = rows.mapInArrow(send, "a long, part int, b long, leader boolean, shingles binary").repartition(shuffle_partitions(spark), "a", "part")
+    return written(sent.sortWithinPartitions("a", "part", F.desc("leader")).mapInArrow(check, "a long, b long").distinct(), "links")
+
+
+def possible(pairs: DataFrame, slim: DataFrame, params: JaccardParams) -> DataFrame:
+    """Of pairs (a, b) those that sizes and bitmaps let be linked."""
+    x = slim.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("x"))
+    y = slim.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("y"))
+    both = pairs.join(x, "a").join(y, "b").where((100 * F.col("n_a") >= params.percent * F.col("n_b")) & (100 * F.col("n_b") >= params.percent * F.col("n_a")))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(parts):
         for part in parts:
-            sets = [s for t in texts(part.column(0)) if len(s := shingle_set(t, params.words))]
-            yield batch([(xxh3_64_intdigest(s.tobytes()) + LOW, len(s), s.view(np.int64), bitmap(s)) for s in sets], schema)
+            a, b, n, m, x, y = (c.to_pylist() for c in part.columns)
+            out = [(a[i], b[i]) for i in range(len(a)) if len(candidates(np.array([a[i], b[i]]), np.array([n[i], m[i]]), np.arange(2), [x[i], y[i]], np.full(2, 2), params.percent)[0])]
+            yield batch(out, schema)
+
+    return both.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(run, "a long, b long")
 
-    wanted = nodes.select(F.col("label").alias("id")).distinct()
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)).alias("id"), "text").join(sized(wanted), "id", "left_semi")
-    return written(rows.select("text").mapInArrow(run, "node long, n long, shingles array<long>, bits binary"), "full-sets")
 
+def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with ``comp``: the root of their node, or the node itself."""
+    return rows.join(roots, "node", "left").select(*rows.columns, F.coalesce("root", "node").alias("comp"))
 
-def verified(pairs: DataFrame, sets: DataFrame, params: JaccardParams) -> DataFrame:
-    """Of pairs (a, b) those that are linked; written."""
-    x = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
-    y = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
-    both = pairs.select("a", "b").join(x, "a").join(y, "b")
-    shared = F.size(F.array_intersect("s_a", "s_b"))
-    return written(both.where(100 * shared >= params.percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b"), "links")
+
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of all nodes that old roots and new links name; only components that the links touch are joined anew. Written."""
+    a = with_roots(links.select(F.col("a").alias("node"), "b"), roots).select(F.col("comp").alias("x"), F.col("b").alias("node"))
+    more = components(with_roots(a, roots).select(F.col("x").alias("a"), F.col("comp").alias("b"))).select(F.col("node").alias("comp"), F.col("root").alias("top"))
+    nodes = roots.select("node").union(links.select("a")).union(links.select("b")).distinct()
+    return written(with_roots(nodes, roots).join(more, "comp", "left").select("node", F.coalesce("top", "comp").alias("root")), "roots")
 
 
 def classes(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
@@ -234,59 +353,70 @@ def classes(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFra
     also repeated rows; rows that share a doc_id but not a text are classed each by their text. A null doc_id counts as
     lower than all others and stays null. An empty table gives no rows.
     """
-    base = basis(docs, frequent_shingles(docs, params), params)
+    shards = shuffle_partitions(docs.sparkSession)
+    all_ = basis(docs, frequent_shingles(docs, params), shards, params)
+    base = all_.where("shard IS NULL")
     low = F.coalesce("doc_id", F.lit(LOW))
-    nodes = base.where("n > 0").groupBy("node").agg(F.min(low).alias("label"), F.first("prefix").alias("prefix"))
-    postings = nodes.select("node", "label", F.explode("prefix").alias("token"))
-    tokens = postings.groupBy("token").agg(F.count("*").alias("size"), F.min("node").alias("star")).where("size > 1")
-    shared = written(postings.join(tokens, "token"), "shared")
-
-    # one partner for each node: the star with which it shares most
-    best = shared.where("node <> star").groupBy("node", "star").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("star", F.struct("k", "star")).alias("star"))
-    sets = full_sets(docs, shared.select("node", "label").distinct(), params)
-    first = verified(best.select(F.col("star").alias("a"), F.col("node").alias("b")), sets, params)
-    roots = written(components(first), "roots")
-
-    # groups that are not yet of one component, in blocks
-    joined = shared.select("token", "node", "size").join(roots, "node", "left").select("token", "node", "size", F.coalesce("root", "node").alias("comp"))
-    open_ = joined.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
+    labels = written(base.where("n > 0").groupBy("node").agg(F.min(low).alias("label")), "nodes")
+    shared = shared_tokens(all_)
+    members = shared.select("node").distinct()
+    slim = written(base.where("n > 0").select("node", "n", "bits").join(members, "node", "left_semi").dropDuplicates(["node"]), "bitmaps")
+
+    # each node against one partner a round: the star, of its groups' largest components, with which it shares most
+    roots = docs.sparkSession.createDataFrame([], "node long, root long")
+    for turn in range(params.rounds):
+        joined = with_roots(shared.select("token", "node", "size"), roots)
+        each = joined.groupBy("token", "comp").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("star"))
+        stars = each.groupBy("token").agg(F.max_by(F.struct("star", "comp"), F.struct("n", "star")).alias("s"), F.count("*").alias("comps"))
+        stars = stars.where("comps > 1").select("token", "s.star", F.col("s.comp").alias("star_comp"))
+        best = joined.join(stars, "token").where("comp <> star_comp").groupBy("node", "star").agg(F.count("*").alias("k"))
+        best = best.groupBy("node").agg(F.max_by("star", F.struct("k", F.xxhash64("star", F.lit(turn)))).alias("star"))
+        near = possible(best.select(F.col("star").alias("a"), F.col("node").alias("b")), slim, params)
+        roots = merged(roots, verified(near, labels, docs, params))
+
+    # groups that are not yet of one component, of groups with the same nodes one; in blocks
+    joined = with_roots(shared.select("token", "node", "size"), roots)
+    signs = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
+    open_ = joined.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size"), *signs).where("c0 <> c1")
+    open_ = open_.groupBy("x0", "x1", "size").agg(F.min("token").alias("token")).select("token")
     blocks = F.ceil(F.col("size") / params.block).cast("int")
     rest = joined.join(open_, "token").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "comp")
-    slim = sets.select("node", "n", "bits").dropDuplicates(["node"])
-    dealt = rest.join(slim, "node").repartition(shuffle_partitions(docs.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j")
+    dealt = rest.join(slim, "node").repartition(shards, "token", "i", "j").sortWithinPartitions("token", "i", "j")
     percent = params.percent
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def trees(parts):
-        now, held = None, []
+        now, held, told = None, [], set()
 
         def pairs():
             node, comp, n, mine, bits = zip(*held, strict=True)
             mine = np.array(mine)
             side = np.full(len(mine), 2) if now[1] == now[2] else (mine == now[2]).astype(np.int64)
-            a, b = candidates(np.array(node), np.array(n), np.array(comp), list(bits), side, percent)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+            new = set(zip(*(x.tolist() for x in candidates(np.array(node), np.array(n), np.array(comp), list(bits), side, percent)), strict=True)) - told
+            if len(told) > 1_000_000:
+                told.clear()
+            told.update(new)
+            return batch(sorted(new), schema)
 
         for part in parts:
             for token, i, j, node, comp, n, mine, bits in zip(*(part.column(c).to_pylist() for c in ("token", "i", "j", "node", "comp", "n", "mine", "bits")), strict=True):
                 if (token, i, j) != now:
-                    if held:
+                    if len(held) > 1:
                         yield pairs()
                     now, held = (token, i, j), []
                 held.append((node, comp, n, mine, bits))
-        if held:
+        if len(held) > 1:
             yield pairs()
 
-    more = verified(dealt.mapInArrow(trees, "a long, b long").distinct(), sets, params)
-    final = components(first.union(more))
+    more = verified(dealt.mapInArrow(trees, "a long, b long").distinct(), labels, docs, params)
+    final = merged(roots, more)
 
-    labels = base.where("n > 0").groupBy("node").agg(F.min(low).alias("label")).join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    labels = written(labels, "labels")
+    labels = written(labels.join(final, "node", "left").withColumn("root", F.coalesce("root", "node")), "labels")
     least = labels.groupBy("root").agg(F.min("label").alias("component"))
     mine = labels.join(least, "root").select("node", "component")
-    out = base.join(mine, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = base.select("doc_id", "n", "node").join(mine, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("component_id", F.when(F.col("component_id") != LOW, F.col("component_id")))
 
 

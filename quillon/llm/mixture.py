@@ -16,12 +16,12 @@ All randomness is a hash of ids and the seed: reruns, also of single lost tasks,
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WORD, sized, written
+from quillon.llm.common import WORD, labels, shuffle_partitions, sized, written
 
 #: Odd prime above any number of blocks: multiplying by it permutes them. Blocks of a super-block.
 PRIME, SUPER = 2_147_483_647, 1024
@@ -31,10 +31,13 @@ SPREAD = 8.0
 
 @dataclass(frozen=True)
 class MixParams:
+    """weights: of the sources in order, repeating. cap: most copies. block_docs: documents of a block, about. shards: of the output; 0: as
+    many as shuffle partitions, so a shard's size stays."""
+
     weights: tuple[int, ...] = (5, 2, 1)
     cap: int = 3
     block_docs: int = 16
-    shards: int = 16
+    shards: int = 0
     seed: int = 17
 
 
@@ -144,6 +147,10 @@ def split(quotas: DataFrame, params: MixParams) -> DataFrame:
     return shares.select("source", ends.alias("ends"))
 
 
+def resolved(docs: DataFrame, params: MixParams) -> MixParams:
+    return params if params.shards else replace(params, shards=shuffle_partitions(docs.sparkSession))
+
+
 def plan(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """A row for each document: doc_id, source, size, source_size, target, copies, draws.
 
@@ -151,6 +158,7 @@ def plan(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     shard, and the place of its shuffle within the shard. Rows that share a doc_id and source are taken together. Null sources
     form one source, null ids one document; sources without words have target 0; an empty table gives no rows. Other columns are not read.
     """
+    params = resolved(docs, params)
     slim = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words().alias("size")).withColumn("u", uniform(F.lit(params.seed), "doc_id"))
     slim = written(slim, "mix-sizes")
     t = targets(slim.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("source_size")), params)
@@ -202,8 +210,10 @@ def plan(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
 
 def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """The mixed documents with their columns as they are, a row for each copy, dealt out by shard and shuffled within it."""
+    params = resolved(docs, params)
     p = plan(docs, params).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "draws").dropDuplicates(["__id", "__source"])
-    p = sized(written(p, "mix-draws"))
+    p = sized(written(p, "mix-draws"), 500_000)
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source"))
     rows = docs.join(p, same).select(*(docs[c] for c in docs.columns), F.explode("draws").alias("__draw"))
-    return rows.repartition(F.col("__draw.shard")).sortWithinPartitions("__draw.shard", "__draw.place", "__draw.copy").drop("__draw")
+    place = F.get(F.array(*map(F.lit, labels(docs.sparkSession, params.shards))), F.col("__draw.shard"))
+    return rows.repartition(params.shards, place).sortWithinPartitions("__draw.shard", "__draw.place", "__draw.copy").drop("__draw")

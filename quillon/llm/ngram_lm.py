@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import hashes, mix, shuffle_partitions, texts, written
+from quillon.llm.common import hashes, labels, mix, shuffle_partitions, texts, written
 
 #: Hashes that stand for a text's begin (a context only) and end (a token only).
 BEGIN, END = np.uint64(0x8BADF00D5EED0001), np.uint64(0x4BADF00D5EED0002)
@@ -188,14 +188,6 @@ def survey(docs: DataFrame, shards: int, params: LmParams) -> tuple[np.ndarray,
     return np.sort(hot.view(np.uint64)), total, distinct
 
 
-def labels(spark, n: int) -> list[int]:
-    """n numbers that Spark's hash partitioning deals to n different partitions."""
-    rows = spark.range(n * 40).select(F.col("id").cast("int").alias("id")).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("at")).agg(F.min("id").alias("id"))
-    found = {r["at"]: r["id"] for r in rows.collect()}
-    spare = iter(range(n * 40, n * 41))
-    return [found[i] if i in found else next(spare) for i in range(n)]
-
-
 def remainder(mod: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % mod
 

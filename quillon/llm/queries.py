@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillon.llm.common import small_batches
 from quillon.session import table
 
 QUERIES: dict = {}
@@ -20,11 +21,16 @@ def query(f=None, *, sql: str | None = None):
     return add(f) if f else add
 
 
+def documents(spark, sf_dir):
+    small_batches(spark)
+    return table(spark, sf_dir, "documents")
+
+
 @query
 def op7_quality_rules(spark, sf_dir):
     from quillon.llm import quality
 
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     ratios = quality.fit(docs, quality.trusted_ids(table(spark, sf_dir, "labels")))
     return quality.score(docs, ratios)
 
@@ -58,7 +64,7 @@ def op3_url_filters(spark, sf_dir):
 def op5_byte_level_bpe(spark, sf_dir):
     from quillon.llm import bpe
 
-    return bpe.round_trip(table(spark, sf_dir, "documents"))
+    return bpe.round_trip(documents(spark, sf_dir))
 
 
 @query
@@ -67,7 +73,7 @@ def op8_secret_scans(spark, sf_dir):
 
     from quillon.llm import secrets
 
-    found = secrets.scan(table(spark, sf_dir, "documents"))
+    found = secrets.scan(documents(spark, sf_dir))
     of = lambda k: F.size(F.filter("base", lambda c: c.kind == k)).cast("long")
     order = lambda a, b: F.when(a.start != b.start, a.start - b.start).otherwise(a.kind - b.kind)
     return found.select(
@@ -88,7 +94,7 @@ def op10_mixing_sources(spark, sf_dir):
 
     from quillon.llm import mixture
 
-    p = mixture.plan(table(spark, sf_dir, "documents"))
+    p = mixture.plan(documents(spark, sf_dir))
     shards = F.transform("draws", lambda x: x["shard"]).alias("shards")
     return p.select("doc_id", "source", "size", "source_size", "target", (F.size("draws") * F.col("size")).cast("long").alias("taken"), shards)
 
@@ -99,7 +105,7 @@ def op1_language_id(spark, sf_dir):
 
     from quillon.llm import langid
 
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     held_out = F.coalesce(langid.remainder(4) == 2, F.lit(False))
     found = langid.predict(docs, langid.fit(docs, ~held_out))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
@@ -109,7 +115,7 @@ def op1_language_id(spark, sf_dir):
 def op2_document_fingerprints(spark, sf_dir):
     from quillon.llm import fingerprints
 
-    return fingerprints.probe(table(spark, sf_dir, "documents"))
+    return fingerprints.probe(documents(spark, sf_dir))
 
 
 _JACCARD_SQL = r"""
@@ -131,7 +137,7 @@ _JACCARD_SQL = r"""
 def op4_ngram_jaccard_join(spark, sf_dir):
     from quillon.llm import jaccard
 
-    return jaccard.classes(table(spark, sf_dir, "documents"))
+    return jaccard.classes(documents(spark, sf_dir))
 
 
 @query
@@ -141,11 +147,11 @@ def op6_lm_scoring(spark, sf_dir):
     from quillon.llm import ngram_lm
 
     held_out = F.coalesce(ngram_lm.remainder(7) == 2, F.lit(False))
-    return ngram_lm.score(table(spark, sf_dir, "documents"), ~held_out)
+    return ngram_lm.score(documents(spark, sf_dir), ~held_out)
 
 
 @query
 def op9_substring_dedup(spark, sf_dir):
     from quillon.llm import passages
 
-    return passages.repeated(table(spark, sf_dir, "documents"))
+    return passages.repeated(documents(spark, sf_dir))
