@@ -213,8 +213,10 @@ def sync_report(t: DataFrame, lib: DataFrame, artist_title: bool = True) -> tupl
 def represented(t: DataFrame, lib: DataFrame) -> DataFrame:
     """file_id of the entries that any track stands for: not 1:1, any of six tests; an equal metadata key needs no compatible duration."""
     exact = lib.join(t.select("metadata_key"), "metadata_key", "left_semi").select("file_id")
-    fuzzy = fuzzy_candidates(t, lib).select(F.col("l_file_id").alias("file_id"))
-    return exact.union(candidates(t, lib).select("l_file_id")).union(fuzzy).distinct()
+    found = cut(exact.union(candidates(t, lib).select("l_file_id")).distinct())
+    # only what no exact test finds is compared fuzzily
+    fuzzy = fuzzy_candidates(t, lib.join(found, "file_id", "left_anti")).select(F.col("l_file_id").alias("file_id"))
+    return found.union(fuzzy).distinct()
 
 
 def unindexed(t: DataFrame, lib: DataFrame) -> DataFrame:
