@@ -69,8 +69,15 @@ def frequent_shingles(docs: DataFrame, params: JaccardParams) -> tuple[np.ndarra
         if held:
             yield flush()
 
-    counted = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "h").limit(params.frequent).toPandas()
+    counted = written(docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "frequent")
+    # the least count of which there are few enough, by a table of counts: no task sees more than its own part
+    least, size = None, 0
+    for row in counted.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).limit(params.frequent).toLocalIterator():
+        size += row["k"]
+        if size > params.frequent:
+            break
+        least = row["n"]
+    top = counted.where(F.col("n") >= least if least else F.lit(False)).toPandas().sort_values(["n", "h"], ascending=[False, True])
     h = top["h"].to_numpy(np.int64).view(np.uint64)
     at = np.argsort(h)
     # rarer ones first: they come in descending order

@@ -211,9 +211,9 @@ def plan(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
 def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """The mixed documents with their columns as they are, a row for each copy, dealt out by shard and shuffled within it."""
     params = resolved(docs, params)
-    p = plan(docs, params).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "draws").dropDuplicates(["__id", "__source"])
+    p = plan(docs, params).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("draws").alias("__draws")).dropDuplicates(["__id", "__source"])
     p = sized(written(p, "mix-draws"), 500_000)
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source"))
-    rows = docs.join(p, same).select(*(docs[c] for c in docs.columns), F.explode("draws").alias("__draw"))
+    rows = docs.join(p, same).select(*(docs[c] for c in docs.columns), F.explode("__draws").alias("__draw"))
     place = F.get(F.array(*map(F.lit, labels(docs.sparkSession, params.shards))), F.col("__draw.shard"))
     return rows.repartition(params.shards, place).sortWithinPartitions("__draw.shard", "__draw.place", "__draw.copy").drop("__draw")
