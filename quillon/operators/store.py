@@ -127,3 +127,21 @@ def replace(df: DataFrame, path: str) -> None:
 def compact(spark, path: str, files: int) -> None:
     """The table at ``path`` in a few files."""
     replace(spark.read.parquet(path).coalesce(files), path)
+
+
+def first_known(*sources: DataFrame, key: str = "id") -> DataFrame:
+    """Of several sources of the same columns, for each key the row of the first source that has it."""
+    from functools import reduce
+
+    both = reduce(DataFrame.unionByName, [s.withColumn("__i", F.lit(i)) for i, s in enumerate(sources)])
+    rest = [c for c in sources[0].columns if c != key]
+    best = both.groupBy(key).agg(F.min_by(F.struct(*rest), "__i").alias("__x"))
+    return best.select(key, *[F.col(f"__x.{c}").alias(c) for c in rest])
+
+
+def positive_setting(explicit: int | None, settings: DataFrame, key: str, default: int) -> int:
+    """A setting: the explicit one, else a positive whole number stored under ``key`` (key, value), else the default."""
+    if explicit is not None:
+        return explicit
+    row = settings.where(F.col("key") == key).select(F.try_to_number("value", F.lit("999999999")).cast("int").alias("v")).head()
+    return row["v"] if row and row["v"] and row["v"] > 0 else default

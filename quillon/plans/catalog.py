@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.functions import sequences
+from quillon.functions import registry, sequences
 from quillon.functions import text as T
 from quillon.functions import vectors as V
 from quillon.operators import cluster, fusion, knn, link, search, select, store
@@ -710,3 +710,19 @@ def store_summary(spark, sf_dir):
 def events_by_hour(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.groupBy(F.date_trunc("hour", "ts").alias("window_start"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(
+    """
+    SELECT label, round(avg(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 9) AS dots, round(avg(1.0), 9)::DOUBLE AS cosines FROM embeddings GROUP BY label"""
+)
+def sql_functions(spark, sf_dir):
+    registry.register(spark)
+    X.vectors(spark, sf_dir).select("label", F.col("embedding").cast("array<double>").alias("e")).createOrReplaceTempView("quillon_vectors")
+    return spark.sql("SELECT label, round(avg(dot(e, e)), 9) AS dots, round(avg(cosine(e, l2_normalize(e))), 9) AS cosines FROM quillon_vectors GROUP BY label")
+
+
+@query("SELECT vec_id AS id, CASE WHEN vec_id % 2 = 0 THEN 'sticky' WHEN vec_id % 3 = 0 THEN 'memory' ELSE 'stored' END AS source FROM embeddings")
+def current_track_of_three_sources(spark, sf_dir):
+    e = X.vectors(spark, sf_dir).select(F.col("vec_id").alias("id"))
+    return store.first_known(e.where("id % 2 = 0").withColumn("source", F.lit("sticky")), e.where("id % 3 = 0").withColumn("source", F.lit("memory")), e.withColumn("source", F.lit("stored")))
