@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
+# Arrow's own pool keeps what batches have freed; several workers share an executor's memory, so freed batches go back to the system.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: White space that separates words: space and \x09 to \x0D. ``bytes.split()`` splits at exactly these.
 WS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
