@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 import numpy as np
@@ -18,12 +20,19 @@ BLOCK = 2048
 SPARE = 4
 
 
+def own_folder() -> str:
+    """A temporary folder that goes with this process."""
+    folder = tempfile.mkdtemp(prefix="quillon-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` without its lineage, by a reliable checkpoint in ``spark.checkpoint.dir``; only where that is unset (one machine) in a
     folder of its own."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-"))
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or own_folder())
     return df.checkpoint()
 
 
