@@ -21,6 +21,8 @@ from quillon.operators.knn import cut
 LEVELS = ("PATH", "METADATA_EXACT", "ARTIST_ALBUM_TITLE", "FILENAME", "ARTIST_TITLE", "FUZZY")
 PASSES = ("PATH", "METADATA", "FILENAME", "ARTIST_ALBUM_TITLE", "ARTIST_TITLE", "FUZZY")
 REASONS = ("NO_SIMILAR_KEY", "DURATION_ONLY", "TITLE_MISMATCH")
+#: Candidate pairs that one task takes one by one.
+SMALL = 100_000
 
 
 def catalog(rows: DataFrame) -> DataFrame:
@@ -134,30 +136,73 @@ def pair_by_duration(t: DataFrame, lib: DataFrame, keys: list[str]) -> DataFrame
     return rows.groupBy("key").applyInPandas(lambda pdf: _greedy(pdf, ["gap", "track_id", "file_id"]), "track_id long, file_id long")
 
 
-def _unique_best(rows: DataFrame, mine: str, score: list[str]) -> DataFrame:
-    """Of candidate pairs those whose score is the best of ``mine`` and no other pair of it has."""
-    w = Window.partitionBy(mine).orderBy(*score)
-    r = rows.withColumn("__r", F.rank().over(w)).where("__r = 1")
-    return r.withColumn("__n", F.count("*").over(Window.partitionBy(mine))).where("__n = 1").drop("__r", "__n")
+def _one_by_one(parts):
+    """Of candidates sorted by order, track and score: each track in turn takes the best entry still free, if no other is as good."""
+    taken, now, free = set(), None, []
 
+    def close():
+        best = [f for s, f in free if s == free[0][0]]
+        if len(best) == 1:
+            taken.add(best[0])
+            return [(now, best[0])]
+        return []
 
-def pair_unique(rows: DataFrame, score: list[str], rounds: int = 8) -> DataFrame:
-    """1:1 pairs from candidates (track_id, file_id, score columns, order) in rounds.
+    for pdf in parts:
+        out = []
+        for t, f, s in pdf[["track_id", "file_id", "s"]].itertuples(index=False):
+            if t != now:
+                out += close()
+                now, free = t, []
+            if f not in taken:
+                free.append((s, f))
+        yield pd.DataFrame(out, columns=["track_id", "file_id"], dtype="int64")
+    yield pd.DataFrame(close(), columns=["track_id", "file_id"], dtype="int64")
 
-    In each round every track bids for its best entry, if no other is as good, and an entry goes to the bidder that is first by ``order``; both
-    then leave. That is what taking tracks one by one in this order gives, but all undisputed ones settle at once. Ends when a round
-    settles none.
+
+def _undisputed(left: DataFrame) -> DataFrame:
+    """track_id, file_id (null: none) of the tracks whose turn ends alike whatever others do: no earlier track can take their only best
+    entry, or two of equally good ones."""
+    first = left.groupBy("file_id").agg(F.min(F.struct("order", "track_id")).alias("first"))
+    mine = left.join(first, "file_id").withColumn("mine", F.col("first.track_id") == F.col("track_id"))
+    alike = mine.groupBy("track_id", "s").agg(F.count("*").alias("n"), F.count_if("mine").alias("m"), F.min("file_id").alias("file_id"))
+    best = alike.groupBy("track_id").agg(F.min_by(F.struct("n", "m", "file_id"), "s").alias("b"))
+    return best.where("b.m > 1 OR (b.n = 1 AND b.m = 1)").select("track_id", F.when(F.col("b.n") == 1, F.col("b.file_id")).alias("file_id"))
+
+
+def _without(left: DataFrame, done: DataFrame) -> DataFrame:
+    """Candidates without the tracks of ``done`` and the entries that these took."""
+    return left.join(done.select("track_id"), "track_id", "left_anti").join(done.where("file_id IS NOT NULL").select("file_id"), "file_id", "left_anti")
+
+
+def pair_unique(rows: DataFrame, score: list[str], small: int = SMALL) -> DataFrame:
+    """1:1 pairs from candidates (track_id, file_id, score columns, order): tracks, one by one by (order, track_id), take their best entry that is
+    still free, if no other is as good; else none.
+
+    In rounds, every track settles that is the first of all that can take its best entry; the very first one always does. Once
+    a round settles less than a tenth of the candidates, the rest is cut into ranges of tracks of about ``small`` candidates, and range
+    after range is taken one by one. Nothing is left undecided.
     """
-    left, won = cut(rows), []
-    for _ in range(rounds):
-        bids = _unique_best(left, "track_id", score)
-        w = Window.partitionBy("file_id").orderBy("order", "track_id")
-        wins = cut(bids.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("track_id", "file_id"))
-        if wins.isEmpty():
-            break
-        won.append(wins)
-        left = cut(left.join(wins.select("track_id"), "track_id", "left_anti").join(wins.select("file_id"), "file_id", "left_anti"))
-    return reduce(DataFrame.union, won) if won else rows.select("track_id", "file_id").limit(0)
+    w = Window.partitionBy("track_id").orderBy(*score)
+    left = cut(rows.select("track_id", "file_id", "order", F.dense_rank().over(w).alias("s")))
+    found, n, before = left.select("track_id", "file_id").limit(0), left.count(), None
+    while n > small and (before is None or 10 * n <= 9 * before):
+        done = cut(_undisputed(left))
+        found = found.union(done)
+        left, before = cut(_without(left, done)), n
+        n = left.count()
+    if n:
+        ranges = -(-n // small)
+        left = left.repartitionByRange(ranges, "order", "track_id").withColumn("range", F.spark_partition_id())
+        left = cut(left) if ranges > 1 else left
+        taken = None
+        for i in range(ranges):
+            part = left.where(F.col("range") == i) if ranges > 1 else left
+            if taken is not None:
+                part = part.join(taken, "file_id", "left_anti")
+            pairs = cut(part.coalesce(1).sortWithinPartitions("order", "track_id", "s", "file_id").mapInPandas(_one_by_one, "track_id long, file_id long"))
+            found = found.union(pairs)
+            taken = pairs.select("file_id") if taken is None else cut(taken.union(pairs.select("file_id")))
+    return found.where("file_id IS NOT NULL")
 
 
 def pair_filename(t: DataFrame, lib: DataFrame) -> DataFrame:

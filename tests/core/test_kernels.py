@@ -190,6 +190,29 @@ def test_pairing(spark):
     assert sorted(map(tuple, link.pair_unique(rows, ["score"]).collect())) == [(1, 11), (2, 12), (3, 13)]
 
 
+def in_turn(rows):
+    """pair_unique, one track after another."""
+    taken, out = set(), []
+    for _, t in sorted({(o, t) for t, _, _, o in rows}):
+        free = sorted((s, f) for t_, f, s, _ in rows if t_ == t and f not in taken)
+        if free and sum(s == free[0][0] for s, _ in free) == 1:
+            taken.add(free[0][1])
+            out.append((t, free[0][1]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("small", [4, 100_000])
+def test_unique_pairs_are_those_of_one_by_one(spark, small):
+    r = random.Random(small)
+    family = [(t, f, f, 1) for t in range(20) for f in range(20)]
+    chain = [(100, 101, 0, 1), (101, 101, 0, 2), (101, 102, 1, 2), (102, 102, 0, 3)]
+    ties = sorted({(200 + t, 200 + f): (200 + t, 200 + f, r.randrange(3), t % 4) for t in range(12) for f in r.sample(range(12), 4)}.values())
+    for rows in (family, chain, ties):
+        df = spark.createDataFrame(rows, "track_id long, file_id long, score int, order int")
+        assert sorted(map(tuple, link.pair_unique(df, ["score"], small=small).collect())) == in_turn(rows)
+    assert len(in_turn(family)) == 20 and (101, 102) in in_turn(chain)
+
+
 def test_store(spark, tmp_path):
     p = f"file://{tmp_path}/t"
     store.replace(spark.range(10), p)
