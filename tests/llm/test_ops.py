@@ -209,6 +209,18 @@ def test_passages(spark):
     assert passages.repeated(docs_of(spark, []), passages.PassageParams()).count() == 0
 
 
+def test_passage_whose_parts_other_documents_hold(spark):
+    r = random.Random(9)
+    word = lambda: f"w{r.randrange(50_000)}"
+    passage = [word() for _ in range(50)]
+    texts = {0: [*[word() for _ in range(30)], *passage, word()], 90: [word(), *passage, *[word() for _ in range(40)]]}
+    for i in range(1, 90):  # between the two stand documents with parts of it
+        at = r.randrange(36)
+        texts[i] = [*[word() for _ in range(30)], *passage[at : at + 14], *[word() for _ in range(30)]]
+    got = [g.asDict() for g in passages.repeated(docs_of(spark, [(i, " ".join(t)) for i, t in texts.items()])).collect()]
+    assert [(g["doc_a"], g["start_a"], g["end_a"], g["doc_b"], g["start_b"], g["end_b"], g["n_same"]) for g in got] == [(90, 1, 51, 0, 30, 80, 50)]
+
+
 def test_chains_are_best():
     r = random.Random(6)
     for _ in range(60):
