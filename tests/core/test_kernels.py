@@ -73,6 +73,20 @@ def test_drift_with_anchor_one_is_a_fixed_query():
     assert [i for i, _, _ in picks] == np.argsort(-(v @ v[0]))[1:11].tolist()
 
 
+def test_drift_searches_all_vectors(spark):
+    v, config = unit(1500, 4, 11), radio.RadioConfig(tracks=8, pool=4, drift=True, anchor=0.0, decay="NONE", momentum=0.0, diversity=0.0, per_artist=2, spacing=1)
+    t = table(spark, v)
+    tracks = t.select(F.col("vec_id").alias("id"), F.concat(F.lit("A"), (F.col("vec_id") % 5).cast("string")).alias("artist"))
+    seeds = spark.createDataFrame([(7, 0), (8, 1200)], "query_id int, vec_id long")
+    for mode in radio.DRIFTS:
+        config = radio.RadioConfig.of(vars(config) | {"drift_mode": mode})
+        got = radio.playlist(t, tracks, seeds, config).orderBy("query_id", "position").collect()
+        for q, s in ((7, 0), (8, 1200)):
+            want = select.drift_order(v[s], s, np.arange(1500), v, [f"a{i % 5}" for i in range(1500)], 8, 4, 0.0, mode, 0.0, "NONE", 0.0, 2, 1)
+            assert [(r["id"], r["candidate_rank"]) for r in got if r["query_id"] == q] == [(i, rank) for i, _, rank in want]
+        assert any((v @ v[0] > v[0] @ v[r["id"]]).sum() > 40 for r in got if r["query_id"] == 7)
+
+
 def test_windows_and_segments(spark):
     secs = [282, 164, 350, 603, 411]
     got = spark.createDataFrame([(s * 24000,) for s in secs], "n long").select(sequences.window_count(F.col("n")).alias("w"))
