@@ -1,6 +1,6 @@
 """Reconciling two catalogs: cascades of exact, normalized and fuzzy joins.
 
-tracks: track_id, metadata_key, filename_key, artist, album, title (normalized), duration_ms, file_path.
+tracks: track_id, metadata_key, filename_key, filename_keys, artist, album, title (normalized), duration_ms, file_path.
 library: file_id, metadata_key, filename_keys, artist, album, title (normalized), duration_ms, path.
 
 A level of a cascade is an equi-join. Candidates of all levels are united and ranked, or, where pairs must be 1:1, levels run in
@@ -31,6 +31,7 @@ def catalog(rows: DataFrame) -> DataFrame:
         "track_id",
         T.metadata_key("artist", "album", "title", "duration_ms").alias("metadata_key"),
         T.filename_key(T.file_stem("file_path")).alias("filename_key"),
+        T.filename_keys(T.filename_key(T.file_stem("file_path")), T.normalize_artist("artist"), T.normalize_title("title")).alias("filename_keys"),
         T.normalize_artist("artist").alias("artist"),
         T.normalize_album("album").alias("album"),
         T.normalize_title("title").alias("title"),
@@ -205,17 +206,24 @@ def pair_unique(rows: DataFrame, score: list[str], small: int = SMALL) -> DataFr
     return found.where("file_id IS NOT NULL")
 
 
+def filename_candidates(t: DataFrame, lib: DataFrame) -> DataFrame:
+    """Distinct pairs that share any of their file name keys (many on both sides)."""
+    a, b = sides(t, lib)
+    both = a.withColumn("key", F.explode("t_filename_keys")).join(b.withColumn("key", F.explode("l_filename_keys")), "key")
+    return both.drop("key").dropDuplicates(["t_track_id", "l_file_id"])
+
+
 def pair_filename(t: DataFrame, lib: DataFrame) -> DataFrame:
-    """1:1 pairs by file name keys (many a library entry), tracks with the fewest candidates first, only unique best ones."""
-    a, b = sides(t.where("filename_key <> ''"), lib)
-    b = b.withColumn("key", F.explode("l_filename_keys"))
-    both = a.join(b, F.col("t_filename_key") == F.col("key")).where(T.duration_compatible("t_duration_ms", "l_duration_ms")).dropDuplicates(["t_track_id", "l_file_id"])
-    return _bid(both, F.count("*").over(Window.partitionBy("t_track_id")))
+    """1:1 pairs by file name keys, tracks with the fewest candidates (of any duration) first, only unique best ones."""
+    both = filename_candidates(t, lib).withColumn("order", F.count("*").over(Window.partitionBy("t_track_id")))
+    return _bid(both.where(T.duration_compatible("t_duration_ms", "l_duration_ms")), F.col("order"))
 
 
-def _bid(both: DataFrame, order: Column) -> DataFrame:
-    scored = both.select(F.col("t_track_id").alias("track_id"), F.col("l_file_id").alias("file_id"), F.struct(*penalties()).alias("score"), order.alias("order"))
-    return pair_unique(scored, ["score"])
+def _bid(both: DataFrame, order: Column, mine: str = "t_track_id", other: str = "l_file_id") -> DataFrame:
+    """Pairs of which the side ``mine`` chooses, in the given order."""
+    scored = both.select(F.col(mine).alias("track_id"), F.col(other).alias("file_id"), F.struct(*penalties()).alias("score"), order.alias("order"))
+    pairs = pair_unique(scored, ["score"])
+    return pairs if mine == "t_track_id" else pairs.select(F.col("file_id").alias("track_id"), F.col("track_id").alias("file_id"))
 
 
 def fuzzy_candidates(t: DataFrame, lib: DataFrame) -> DataFrame:
@@ -232,8 +240,8 @@ def fuzzy_candidates(t: DataFrame, lib: DataFrame) -> DataFrame:
 
 
 def pair_fuzzy(t: DataFrame, lib: DataFrame) -> DataFrame:
-    """1:1 pairs of fuzzy candidates, shortest titles first, only unique best ones."""
-    return _bid(fuzzy_candidates(t, lib), F.length("t_title"))
+    """1:1 pairs of fuzzy candidates: entries, shortest titles first, choose their unique best track."""
+    return _bid(fuzzy_candidates(t, lib), F.length("l_title"), "l_file_id", "t_track_id")
 
 
 def sync_report(t: DataFrame, lib: DataFrame, artist_title: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -258,7 +266,8 @@ def sync_report(t: DataFrame, lib: DataFrame, artist_title: bool = True) -> tupl
 def represented(t: DataFrame, lib: DataFrame) -> DataFrame:
     """file_id of the entries that any track stands for: not 1:1, any of six tests; an equal metadata key needs no compatible duration."""
     exact = lib.join(t.select("metadata_key"), "metadata_key", "left_semi").select("file_id")
-    found = cut(exact.union(candidates(t, lib).select("l_file_id")).distinct())
+    names = filename_candidates(t, lib).where(T.duration_compatible("t_duration_ms", "l_duration_ms"))
+    found = cut(exact.union(candidates(t, lib).select("l_file_id")).union(names.select("l_file_id")).distinct())
     # only what no exact test finds is compared fuzzily
     fuzzy = fuzzy_candidates(t, lib.join(found, "file_id", "left_anti")).select(F.col("l_file_id").alias("file_id"))
     return found.union(fuzzy).distinct()

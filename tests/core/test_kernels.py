@@ -227,6 +227,22 @@ def test_unique_pairs_are_those_of_one_by_one(spark, small):
     assert len(in_turn(family)) == 20 and (101, 102) in in_turn(chain)
 
 
+def test_file_names_have_many_keys_on_both_sides(spark):
+    raw = "artist string, album string, title string, duration_ms int"
+    t = link.catalog(spark.createDataFrame([(1, "A", "X", "Song", 1000, "/m/track01.flac")], f"track_id long, {raw}, file_path string"))
+    lib = link.library(spark.createDataFrame([(11, "Q", "Y", "Other", 1000, "/m/song.flac")], f"file_id long, {raw}, path string"))
+    assert [tuple(r) for r in link.pair_filename(t, lib).collect()] == [(1, 11)]
+    assert link.unindexed(t, lib).count() == 0 and link.sync_report(t, lib)[0].head()["pass"] == "FILENAME"
+
+
+def test_entries_choose_in_fuzzy_pairs(spark):
+    raw = "artist string, album string, title string, duration_ms int"
+    t = link.catalog(spark.createDataFrame([(1, "A", "X", "Long Song", 1000, "/m/1"), (2, "A", "X", "Long Song", 9000, "/m/2")], f"track_id long, {raw}, file_path string"))
+    lib = link.library(spark.createDataFrame([(11, "A", "X", "Long Song", 1400, None), (12, "A", "X", "Long Song", 1400, None)], f"file_id long, {raw}, path string"))
+    # a track finds two equally good entries and takes none; an entry finds one track
+    assert [tuple(r) for r in link.pair_fuzzy(t, lib).collect()] == [(1, 11)]
+
+
 def test_store(spark, tmp_path):
     p = f"file://{tmp_path}/t"
     store.replace(spark.range(10), p)
