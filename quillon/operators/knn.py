@@ -16,8 +16,8 @@ from quillon.operators.search import sized
 
 #: Vectors of a block: two blocks of 768 doubles each are 25 MB.
 BLOCK = 2048
-#: Candidates kept beyond k, so that rounding in the block products never decides.
-SPARE = 4
+#: Scores of block products, as a share of the k-th best (1 at least), that are within rounding of each other.
+MARGIN = 1e-9
 
 
 def own_folder() -> str:
@@ -42,17 +42,29 @@ def blocks(vectors: DataFrame, n: int, id_col: str) -> DataFrame:
     return b.groupBy("block").agg(F.collect_list("x").alias("rows"))
 
 
+def spared(s: np.ndarray, ids: np.ndarray, same: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of every score within a rounding margin of its row's t-th best; of equal vectors (``same`` alike) the t least ids of those
+    that a row may take."""
+    best = np.partition(s, -t, axis=1)[:, -t]
+    rows, at = np.nonzero((s >= (best - MARGIN * np.maximum(1.0, np.abs(best)))[:, None]) & np.isfinite(s))
+    order = np.lexsort((ids[at], same[at], rows))
+    rows, at = rows[order], at[order]
+    new = np.append(True, (rows[1:] != rows[:-1]) | (same[at][1:] != same[at][:-1])) if len(rows) else np.zeros(0, bool)
+    begin = np.flatnonzero(new)
+    place = np.arange(len(rows)) - np.repeat(begin, np.diff(np.append(begin, len(rows))))
+    return rows[place < t], at[place < t]
+
+
 def near_pairs(left: DataFrame, right: DataFrame, k: int, id_col: str = "vec_id", block: int = BLOCK) -> DataFrame:
-    """src, dst candidates: for each vector of ``left`` its k + SPARE best of ``right`` by block products, itself left out.
+    """src, dst candidates: for each vector of ``left`` its k best of ``right`` by block products and all that rounding can't tell from the k-th, itself
+    left out; equal vectors of a block stand for each other beyond the k least ids.
 
-    Blocks meet blocks: each pair of blocks is one matrix product in one task, from which k + SPARE rows a vector go on. Neither side is
-    broadcast or held whole anywhere.
+    Blocks meet blocks: each pair of blocks is one matrix product in one task. Neither side is broadcast or held whole anywhere.
     """
     m, n = (max(1, -(-d.count() // block)) for d in (left, right))
     grid = left.sparkSession.range(m).select(F.col("id").cast("int").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     x = blocks(left, m, id_col).select(F.col("block").alias("i"), F.col("rows").alias("x"))
     y = blocks(right, n, id_col).select(F.col("block").alias("j"), F.col("rows").alias("y"))
-    keep = k + SPARE
 
     def product(parts):
         for pdf in parts:
@@ -61,15 +73,14 @@ def near_pairs(left: DataFrame, right: DataFrame, k: int, id_col: str = "vec_id"
                 ia, ib = np.array([r["id"] for r in x]), np.array([r["id"] for r in y])
                 s = a @ b.T
                 s[ia[:, None] == ib[None, :]] = -np.inf
-                t = min(keep, s.shape[1])
-                at = np.argpartition(-s, t - 1, axis=1)[:, :t]
-                v = np.take_along_axis(s, at, 1)
-                ok = np.isfinite(v).ravel()
-                yield pd.DataFrame({"src": np.repeat(ia, t)[ok], "dst": ib[at].ravel()[ok], "s": v.ravel()[ok]})
+                same = np.unique(b, axis=0, return_inverse=True)[1].reshape(-1)
+                rows, at = spared(s, ib, same, min(k, s.shape[1]))
+                yield pd.DataFrame({"src": ia[rows], "dst": ib[at], "s": s[rows, at]})
 
     pairs = grid.join(x, "i").join(y, "j").select("x", "y").mapInPandas(product, "src long, dst long, s double")
     w = Window.partitionBy("src").orderBy(F.desc("s"), "dst")
-    return pairs.withColumn("n", F.row_number().over(w)).where(F.col("n") <= keep).select("src", "dst")
+    kth = pairs.withColumn("kth", F.nth_value("s", k).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return kth.where(F.col("kth").isNull() | (F.col("s") >= F.col("kth") - MARGIN * F.greatest(F.lit(1.0), F.abs("kth")))).select("src", "dst")
 
 
 def scored(pairs: DataFrame, vectors: DataFrame, id_col: str = "vec_id") -> DataFrame:

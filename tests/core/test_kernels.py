@@ -171,6 +171,18 @@ def test_knn_and_updates(spark):
     assert sorted(map(tuple, gone.select("src", "dst").collect())) == sorted(map(tuple, knn.build(t.where("vec_id <> 7"), 5).select("src", "dst").collect()))
 
 
+def test_knn_of_equal_vectors_takes_the_least_ids(spark):
+    v = unit(60, 12, 6)
+    v[10:] = v[10]
+    t = spark.createDataFrame([(i, x.tolist(), 0) for i, x in reversed(list(enumerate(v)))], "vec_id long, embedding array<double>, label int")
+    for block in (16, 2048):
+        got = knn.build(t, 5, block=block).toPandas()
+        for i in range(10, 60):
+            assert got[got["src"] == i].sort_values("rank")["dst"].tolist() == [j for j in range(10, 17) if j != i][:5]
+    s = np.zeros((1, 5000))
+    assert len(knn.spared(s, np.arange(5000), np.zeros(5000, int), 5)[1]) == 5
+
+
 def test_weights_of_rows_without_positive_scores(spark):
     e = spark.createDataFrame([(0, 1, 1, -0.5), (0, 2, 2, 0.0)], "src long, rank int, dst long, score double")
     assert [r["weight"] for r in knn.weights(e).collect()] == [0.0, 0.0]
