@@ -274,9 +274,9 @@ def kmeans(spark, sf_dir):
 # ---- selection ---------------------------------------------------------------------------------------------------
 
 
-def _pool(spark, sf_dir, size=100):
+def _pool(spark, sf_dir, size=100, every=20):
     v = X.vectors(spark, sf_dir)
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    q = v.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return select.pool_of(v, q, size, exclude=q.select("query_id", F.col("query_id").alias("vec_id")))
 
 
@@ -293,7 +293,7 @@ def mmr_select(spark, sf_dir):
     SELECT query_id, id, score, candidate_rank, candidate_rank AS position FROM r WHERE candidate_rank <= 30"""
 )
 def mmr_without_diversity_is_top_k(spark, sf_dir):
-    return select.mmr(_pool(spark, sf_dir), 30, lam=1.0)
+    return select.mmr(_pool(spark, sf_dir, every=50), 30, lam=1.0)
 
 
 @query()
@@ -302,7 +302,7 @@ def dpp_select(spark, sf_dir):
 
 
 def _drift(spark, sf_dir, mode):
-    s = X.vectors(spark, sf_dir).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vec_id")
+    s = X.vectors(spark, sf_dir).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vec_id")
     return radio.playlist(X.vectors(spark, sf_dir), X.vector_tracks(spark, sf_dir), s, radio.RadioConfig(tracks=30, drift=True, drift_mode=mode))
 
 
@@ -318,7 +318,7 @@ def drift_momentum(spark, sf_dir):
 
 @query()
 def radio_batch(spark, sf_dir):
-    s = X.vectors(spark, sf_dir).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vec_id")
+    s = X.vectors(spark, sf_dir).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vec_id")
     return radio.playlist(X.vectors(spark, sf_dir), X.vector_tracks(spark, sf_dir), s)
 
 

@@ -11,7 +11,7 @@ from quillon.functions import sequences
 from quillon.functions import text as T
 from quillon.functions import vectors as V
 from quillon.operators import cluster, fusion, knn, link, search, select, store
-from quillon.plans import radio
+from quillon.plans import catalog, radio
 
 
 def unit(n, dim, seed=0):
@@ -275,6 +275,12 @@ def test_config():
     assert select.auto_pool(100) == 100 and select.auto_pool(75_035) == 1500
 
 
+@pytest.mark.parametrize("name", ["mmr_select", "dpp_select", "radio_batch"])
+def test_every_twentieth_vector_asks(spark, sf, name):
+    ids = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 20 = 0")
+    assert catalog.QUERIES[name](spark, sf).select("query_id").distinct().count() == ids.count()
+
+
 def test_similar_takes_one_source(spark):
     v = table(spark, unit(20, 4, 8))
     t = v.select(F.col("vec_id").alias("id"), F.lit("A").alias("artist"), F.concat(F.lit("song "), F.col("vec_id").cast("string")).alias("title"))
