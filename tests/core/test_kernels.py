@@ -81,6 +81,10 @@ def test_drift_searches_all_vectors(spark):
     for mode in radio.DRIFTS:
         config = radio.RadioConfig.of(vars(config) | {"drift_mode": mode})
         got = radio.playlist(t, tracks, seeds, config).orderBy("query_id", "position").collect()
+        params = select.DriftParams(8, 4, 0.0, mode, 0.0, "NONE", 0.0, 2, 1)
+        rounds = select.drift(t, tracks, seeds.join(t, "vec_id").withColumnRenamed("embedding", "q"), params, whole=0).orderBy("query_id", "position").collect()
+        assert [(r["query_id"], r["id"], r["candidate_rank"]) for r in rounds] == [(r["query_id"], r["id"], r["candidate_rank"]) for r in got]
+        assert [r["score"] for r in rounds] == pytest.approx([r["score"] for r in got])
         for q, s in ((7, 0), (8, 1200)):
             want = select.drift_order(v[s], s, np.arange(1500), v, [f"a{i % 5}" for i in range(1500)], 8, 4, 0.0, mode, 0.0, "NONE", 0.0, 2, 1)
             assert [(r["id"], r["candidate_rank"]) for r in got if r["query_id"] == q] == [(i, rank) for i, _, rank in want]
