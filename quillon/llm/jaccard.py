@@ -8,10 +8,12 @@
    Groups whose nodes are all of one component are done.
 4. What is left goes through signature trees: token bitmaps, combined by OR up the tree with ranges of sizes. A dual
    traversal drops pairs of tree nodes that are of one component, whose sizes don't fit, or whose largest possible overlap is
-   too small; pairs of documents that remain are checked on their full sets. Large groups are cut into blocks, and a tree pair is
-   one pair of blocks.
+   too small; pairs that remain are checked there on their full sets, unless their nodes have been joined meanwhile. Only links that
+   join two components leave a task, so no more than one for each node. Large groups are cut into blocks by nodes and by shingles, and a
+   tree pair is one pair of blocks.
 
-Sizes and bitmaps come before sets: a set is made again from its text, and moved, only for a pair that they let pass. All checks are exact.
+In the rounds sizes and bitmaps come before sets: a set is made again from its text, and moved, only for a pair that they let pass; sets go to the trees
+only of nodes that still stand in open groups. All checks are exact.
 """
 
 from __future__ import annotations
@@ -28,17 +30,21 @@ from quillon.llm.common import batch, hashes, shingles, shuffle_partitions, size
 from quillon.llm.graph import components
 
 LOW = -(1 << 63)
+#: Bytes of sets that one Arrow batch carries.
+SENT = 1 << 23
 
 
 @dataclass(frozen=True)
 class JaccardParams:
     """words of a shingle; percent: least Jaccard likeness of a link; frequent: so many of the most frequent shingles are ordered last (speed
-    only); block: nodes of a group that one tree holds; rounds: of checks against single partners, before trees take what is left."""
+    only); block: nodes of a group that one tree holds; shingles: about so many of them; rounds: of checks against single partners, before trees take
+    what is left."""
 
     words: int = 5
     percent: int = 80
     frequent: int = 200_000
     block: int = 1024
+    shingles: int = 500_000
     rounds: int = 4
 
 
@@ -149,9 +155,9 @@ def _down(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def candidates(node: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: list[bytes], side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Node pairs of a group that may be linked; side: 0 and 1 of two blocks, of which only pairs across count, or all 2."""
+    """Places of the pairs of a group that may be linked; side: 0 and 1 of two blocks, of which only pairs across count, or all 2."""
     order = np.lexsort((node, n))
-    node, n, comp, side = node[order], n[order], comp[order], side[order]
+    n, comp, side = n[order], comp[order], side[order]
     wide = np.array([len(bits[k]) for k in order])
     out_a, out_b = [], []
 
@@ -166,8 +172,8 @@ def candidates(node: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: list[byt
         if len(x) and (y is None or len(y)):
             p = tree(width, x)
             i, j = dual(p, p if y is None else tree(width, y), percent)
-            out_a.append(node[x[i]])
-            out_b.append(node[(x if y is None else y)[j]])
+            out_a.append(order[x[i]])
+            out_b.append(order[(x if y is None else y)[j]])
 
     for w in np.unique(wide):
         # sizes that may be linked have equal or neighbouring widths: the wider bitmaps are folded
@@ -187,6 +193,60 @@ def candidates(node: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: list[byt
     return np.minimum(a, b), np.maximum(a, b)
 
 
+class Components:
+    """Components that links have joined so far, by the least member."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        path = []
+        while (y := self.parent.get(x, x)) != x:
+            path.append(x)
+            x = y
+        for y in path:
+            self.parent[y] = x
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether they were apart."""
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _grouped(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """Distinct values of a, which is sorted, and the values of b beside each."""
+    values, first = np.unique(a, return_index=True)
+    return values.tolist(), np.split(b, first[1:]) if len(a) else []
+
+
+def spanning(node: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], side: np.ndarray, known: Components, params: JaccardParams) -> list[tuple[int, int]]:
+    """Links of a group (side as in ``candidates``) that join components which ``known`` holds apart, checked on the full sets: fewer than its nodes."""
+    n = np.array([len(x) for x in sets])
+    now = np.array([known.root(c) for c in comp.tolist()])
+    a, b = candidates(node, n, now, [bitmap(x) for x in sets], side, params.percent)
+    order = np.lexsort((b, a))
+    out = []
+    for i, waiting in zip(*_grouped(a[order], b[order]), strict=True):
+        while len(waiting):
+            mine = known.root(int(comp[i]))
+            waiting = waiting[[known.root(int(comp[j])) != mine for j in waiting]]
+            # as many as fit into a bounded piece of memory
+            some = waiting[: max(1, int(np.searchsorted(np.cumsum(n[waiting]), params.shingles)))]
+            waiting = waiting[len(some) :]
+            if not len(some):
+                break
+            both = np.concatenate([sets[j] for j in some])
+            at = np.minimum(np.searchsorted(sets[i], both), n[i] - 1)
+            shared = np.add.reduceat((sets[i][at] == both).astype(np.int64), np.append(0, np.cumsum(n[some])[:-1]))
+            for j in some[100 * shared >= params.percent * (n[i] + n[some] - shared)]:
+                if known.join(int(comp[i]), int(comp[j])):
+                    out.append((int(node[i]), int(node[j])))
+    return out
+
+
 BASE = "doc_id long, n long, node long, bits binary, last array<long>, shard int, tokens binary, nodes binary"
 BASE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bits", pa.binary()), ("last", pa.list_(pa.int64())), ("shard", pa.int32()), ("tokens", pa.binary()), ("nodes", pa.binary())])
 
@@ -294,11 +354,18 @@ def verified(pairs: DataFrame, labels: DataFrame, docs: DataFrame, params: Jacca
 
     def send(batches_):
         for part in batches_:
-            out = []
+            out, size = [], 0
             for t, node, to_ in zip(texts(part.column(0)), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                 s = shingle_set(t, params.words)
-                if node == node_of(s):
-                    out += [(x["a"], x["part"], node, node == x["a"], s.tobytes()) for x in to_]
+                if node != node_of(s):
+                    continue
+                data = s.tobytes()
+                for x in to_:
+                    out.append((x["a"], x["part"], node, node == x["a"], data))
+                    size += len(data)
+                    if size > SENT:
+                        yield batch(out, schema)
+                        out, size = [], 0
             yield batch(out, schema)
 
     links = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -323,6 +390,30 @@ def verified(pairs: DataFrame, labels: DataFrame, docs: DataFrame, params: Jacca
     return written(sent.sortWithinPartitions("a", "part", F.desc("leader")).mapInArrow(check, "a long, b long").distinct(), "links")
 
 
+def sets_of(docs: DataFrame, nodes: DataFrame, labels: DataFrame, params: JaccardParams) -> DataFrame:
+    """node, shingles (the packed set) of the given nodes; written. Of each node one document is read again."""
+    wanted = written(nodes.join(labels, "node").select(F.col("label").alias("id"), "node"), "wanted")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)).alias("id"), "text").join(sized(wanted), "id").select("text", "node")
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
+
+    def run(parts):
+        for part in parts:
+            out, size = [], 0
+            for t, node in zip(texts(part.column(0)), part.column(1).to_pylist(), strict=True):
+                s = shingle_set(t, params.words)
+                if node == node_of(s):
+                    out.append((node, s.tobytes()))
+                    size += 8 * len(s)
+                    if size > SENT:
+                        yield batch(out, schema)
+                        out, size = [], 0
+            yield batch(out, schema)
+
+    found = written(rows.mapInArrow(run, "node long, shingles binary"), "node-sets")
+    # rows that share a doc_id and their words bring a set twice
+    return found if found.count() == wanted.count() else found.dropDuplicates(["node"])
+
+
 def possible(pairs: DataFrame, slim: DataFrame, params: JaccardParams) -> DataFrame:
     """Of pairs (a, b) those that sizes and bitmaps let be linked."""
     x = slim.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("x"))
@@ -386,39 +477,38 @@ def classes(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFra
     signs = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
     open_ = joined.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size"), *signs).where("c0 <> c1")
     open_ = open_.groupBy("x0", "x1", "size").agg(F.min("token").alias("token")).select("token")
-    blocks = F.ceil(F.col("size") / params.block).cast("int")
-    rest = joined.join(open_, "token").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "comp")
-    dealt = rest.join(slim, "node").repartition(shards, "token", "i", "j").sortWithinPartitions("token", "i", "j")
-    percent = params.percent
+    rest = written(joined.join(open_, "token"), "open")
+    sets = sets_of(docs, rest.select("node").distinct(), labels, params)
+    with_n = rest.join(slim.select("node", "n"), "node")
+    blocks = F.ceil(F.greatest(F.col("size") / params.block, F.sum("n") / params.shingles)).cast("int").alias("blocks")
+    with_n = with_n.join(with_n.groupBy("token", "size").agg(blocks).drop("size"), "token").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = with_n.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "comp")
+    dealt = dealt.join(sets, "node").repartition(shards, "token", "i", "j").sortWithinPartitions("token", "i", "j")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def trees(parts):
-        now, held, told = None, [], set()
+        now, held, known = None, [], Components()
 
-        def pairs():
-            node, comp, n, mine, bits = zip(*held, strict=True)
+        def links():
+            node, comp, mine, data = zip(*held, strict=True)
             mine = np.array(mine)
             side = np.full(len(mine), 2) if now[1] == now[2] else (mine == now[2]).astype(np.int64)
-            new = set(zip(*(x.tolist() for x in candidates(np.array(node), np.array(n), np.array(comp), list(bits), side, percent)), strict=True)) - told
-            if len(told) > 1_000_000:
-                told.clear()
-            told.update(new)
-            return batch(sorted(new), schema)
+            if len(known.parent) > 1_000_000:
+                known.parent.clear()
+            return batch(spanning(np.array(node), np.array(comp), [np.frombuffer(x, np.uint64) for x in data], side, known, params), schema)
 
         for part in parts:
-            for token, i, j, node, comp, n, mine, bits in zip(*(part.column(c).to_pylist() for c in ("token", "i", "j", "node", "comp", "n", "mine", "bits")), strict=True):
+            for token, i, j, node, comp, mine, data in zip(*(part.column(c).to_pylist() for c in ("token", "i", "j", "node", "comp", "mine", "shingles")), strict=True):
                 if (token, i, j) != now:
                     if len(held) > 1:
-                        yield pairs()
+                        yield links()
                     now, held = (token, i, j), []
-                held.append((node, comp, n, mine, bits))
+                held.append((node, comp, mine, data))
         if len(held) > 1:
-            yield pairs()
+            yield links()
 
-    more = verified(dealt.mapInArrow(trees, "a long, b long").distinct(), labels, docs, params)
-    final = merged(roots, more)
+    final = merged(roots, written(dealt.mapInArrow(trees, "a long, b long").distinct(), "tree-links"))
 
     labels = written(labels.join(final, "node", "left").withColumn("root", F.coalesce("root", "node")), "labels")
     least = labels.groupBy("root").agg(F.min("label").alias("component"))

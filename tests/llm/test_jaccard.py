@@ -69,6 +69,39 @@ def test_equals_brute_force(spark, rows, params):
     assert got == brute(rows)
 
 
+def test_a_family_mostly_not_linked(spark):
+    """2,000 near copies of one text, few of which are linked: equal to brute force, and tasks tell one link a node at most."""
+    r = random.Random(7)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(w if r.random() > 0.035 else f"x{r.randrange(10**6)}" for w in base)) for i in range(2000)]
+    got = sorted(map(tuple, jaccard.classes(docs_of(spark, rows), jaccard.JaccardParams(rounds=0)).collect()))
+    assert got == brute(rows)
+    assert 300 < len({c for _, _, c in got}) < 1990
+
+
+def test_tasks_tell_spanning_links_alone():
+    r = np.random.default_rng(3)
+    base = r.integers(0, 1 << 62, 200).astype(np.uint64)
+    sets = [np.unique(np.concatenate([r.choice(base, 180, replace=False), r.integers(0, 1 << 62, 12).astype(np.uint64)])) for _ in range(300)]
+    node = np.arange(300)
+    found = jaccard.spanning(node, node, sets, np.full(300, 2), jaccard.Components(), jaccard.JaccardParams(shingles=1000))
+    assert len(found) < 300
+    joined = jaccard.Components()
+    for a, b in found:
+        joined.join(a, b)
+    for i in range(300):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                assert joined.root(i) == joined.root(j)
+
+
+def test_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(3, long), (4, long + " and more"), (1, "a b c d e f g")]
+    assert sorted(map(tuple, jaccard.classes(docs_of(spark, rows)).collect())) == [(1, 3, 1), (3, 59_996, 3), (4, 59_998, 3)]
+
+
 def test_edges(spark):
     rows = [(5, None), (3, ""), (4, "  \n"), (9, "one two"), (2, "One  two"), (8, "one two three"), (7, "a b c d e f"), (7, "a b c d e f"), (1, "x y z u v w"), (1, "other words in this row of it")]
     got = sorted(map(tuple, jaccard.classes(docs_of(spark, rows)).collect()))
