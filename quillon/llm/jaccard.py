@@ -8,12 +8,12 @@
    Groups whose nodes are all of one component are done.
 4. What is left goes through signature trees: token bitmaps, combined by OR up the tree with ranges of sizes. A dual
    traversal drops pairs of tree nodes that are of one component, whose sizes don't fit, or whose largest possible overlap is
-   too small; pairs that remain are checked there on their full sets, unless their nodes have been joined meanwhile. Only links that
-   join two components leave a task, so no more than one for each node. Large groups are cut into blocks by nodes and by shingles, and a
-   tree pair is one pair of blocks.
+   too small. Large groups are cut into blocks by nodes and by shingles, and a tree pair is one pair of blocks. A task tells
+   which of its nodes remain, each once, however many pairs they make.
+5. The sets of these nodes go to what is left of the groups, of equal ones to one, where remaining pairs are checked, unless their nodes have been joined
+   meanwhile. Only links that join two components leave a task, so fewer than it has nodes.
 
-In the rounds sizes and bitmaps come before sets: a set is made again from its text, and moved, only for a pair that they let pass; sets go to the trees
-only of nodes that still stand in open groups. All checks are exact.
+Sizes and bitmaps come before sets: a set is made again from its text, and moved, only for a pair that they let pass. All checks are exact.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ class JaccardParams:
     frequent: int = 200_000
     block: int = 1024
     shingles: int = 500_000
-    rounds: int = 4
+    rounds: int = 2
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -477,38 +477,58 @@ def classes(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFra
     signs = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
     open_ = joined.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size"), *signs).where("c0 <> c1")
     open_ = open_.groupBy("x0", "x1", "size").agg(F.min("token").alias("token")).select("token")
-    rest = written(joined.join(open_, "token"), "open")
-    sets = sets_of(docs, rest.select("node").distinct(), labels, params)
-    with_n = rest.join(slim.select("node", "n"), "node")
-    blocks = F.ceil(F.greatest(F.col("size") / params.block, F.sum("n") / params.shingles)).cast("int").alias("blocks")
-    with_n = with_n.join(with_n.groupBy("token", "size").agg(blocks).drop("size"), "token").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = with_n.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "comp")
-    dealt = dealt.join(sets, "node").repartition(shards, "token", "i", "j").sortWithinPartitions("token", "i", "j")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def trees(parts):
-        now, held, known = None, [], Components()
-
-        def links():
-            node, comp, mine, data = zip(*held, strict=True)
-            mine = np.array(mine)
-            side = np.full(len(mine), 2) if now[1] == now[2] else (mine == now[2]).astype(np.int64)
-            if len(known.parent) > 1_000_000:
-                known.parent.clear()
-            return batch(spanning(np.array(node), np.array(comp), [np.frombuffer(x, np.uint64) for x in data], side, known, params), schema)
-
+    rest = joined.join(open_, "token").join(slim, "node")
+    blocks = F.ceil(F.greatest(F.first("size") / params.block, F.sum("n") / params.shingles)).cast("int").alias("blocks")
+    rest = rest.join(rest.groupBy("token").agg(blocks), "token").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
+    rest = rest.withColumn("side", F.when(F.col("i") == F.col("j"), 2).when(F.col("mine") == F.col("j"), 1).otherwise(0))
+    key = ["token", "i", "j"]
+    kind, names = "token long, i int, j int, side int, node long, comp long", [*key, "side", "node", "comp"]
+    schema = pa.schema([(c, pa.int64() if c in ("token", "node", "comp") else pa.int32()) for c in names])
+
+    def grouped(parts, column):
+        """(key, rows of side, node, comp, column) of each group; parts are sorted by key."""
+        now, held = None, []
         for part in parts:
-            for token, i, j, node, comp, mine, data in zip(*(part.column(c).to_pylist() for c in ("token", "i", "j", "node", "comp", "mine", "shingles")), strict=True):
+            for token, i, j, *row in zip(*(part.column(c).to_pylist() for c in [*names, column]), strict=True):
                 if (token, i, j) != now:
                     if len(held) > 1:
-                        yield links()
+                        yield now, held
                     now, held = (token, i, j), []
-                held.append((node, comp, mine, data))
+                held.append(row)
         if len(held) > 1:
-            yield links()
+            yield now, held
+
+    def trees(parts):
+        out = []
+        for at, held in grouped(parts, "bits"):
+            side, node, comp, bits_n = zip(*held, strict=True)
+            n, bits = [x["n"] for x in bits_n], [x["bits"] for x in bits_n]
+            x, y = candidates(np.array(node), np.array(n), np.array(comp), bits, np.array(side), params.percent)
+            out += [(*at, side[k], node[k], comp[k]) for k in np.union1d(x, y)]
+            if len(out) > 10_000:
+                yield batch(out, schema)
+                out = []
+        yield batch(out, schema)
+
+    dealt = rest.select(*names, F.struct("n", "bits").alias("bits")).repartition(shards, *key).sortWithinPartitions(*key)
+    left = written(dealt.mapInArrow(trees, kind), "tree-nodes")
+    signs = [F.bit_xor(F.xxhash64("node", "side", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
+    alike = left.groupBy(*key).agg(F.count("*").alias("size"), *signs).groupBy("x0", "x1", "size").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
+    left = left.join(alike, key).join(sets_of(docs, left.select("node").distinct(), labels, params), "node")
+    dealt = left.select(*names, "shingles").repartition(shards, *key).sortWithinPartitions(*key)
+    links = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def check(parts):
+        known = Components()
+        for _, held in grouped(parts, "shingles"):
+            if len(known.parent) > 1_000_000:
+                known.parent.clear()
+            side, node, comp, data = zip(*held, strict=True)
+            yield batch(spanning(np.array(node), np.array(comp), [np.frombuffer(x, np.uint64) for x in data], np.array(side), known, params), links)
 
-    final = merged(roots, written(dealt.mapInArrow(trees, "a long, b long").distinct(), "tree-links"))
+    final = merged(roots, written(dealt.mapInArrow(check, "a long, b long").distinct(), "tree-links"))
 
     labels = written(labels.join(final, "node", "left").withColumn("root", F.coalesce("root", "node")), "labels")
     least = labels.groupBy("root").agg(F.min("label").alias("component"))
