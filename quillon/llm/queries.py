@@ -152,6 +152,15 @@ def op6_lm_scoring(spark, sf_dir):
 
 @query
 def op9_substring_dedup(spark, sf_dir):
+    from pyspark.sql import functions as F
+
     from quillon.llm import passages
 
-    return passages.repeated(documents(spark, sf_dir))
+    found = passages.repeated(documents(spark, sf_dir))
+
+    def seen_from(x, y):
+        names = {f"doc_{x}": "doc_id", f"start_{x}": "start", f"end_{x}": "end", f"doc_{y}": "other_doc_id", f"start_{y}": "other_start", f"end_{y}": "other_end"}
+        return F.struct(*[F.col(a).alias(b) for a, b in names.items()], "n_same", "kind")
+
+    # each passage as a row of either document
+    return found.select(F.explode(F.array(seen_from("a", "b"), seen_from("b", "a"))).alias("x")).select("x.*")

@@ -221,6 +221,40 @@ def test_passage_whose_parts_other_documents_hold(spark):
     assert [(g["doc_a"], g["start_a"], g["end_a"], g["doc_b"], g["start_b"], g["end_b"], g["n_same"]) for g in got] == [(90, 1, 51, 0, 30, 80, 50)]
 
 
+def test_passages_in_long_texts_and_with_long_fuzzy_ends(spark):
+    r = random.Random(12)
+    word = lambda: f"w{r.randrange(50_000)}"
+    core, tail = [word() for _ in range(60)], [word() for _ in range(900)]
+    worn = [w if k % 7 else word() for k, w in enumerate(tail)]  # never 19 words in a row
+    gap = [word() for _ in range(500)]
+    texts = {1: core + tail, 2: [word() for _ in range(40)] + core + worn, 3: core[::-1] + gap + core[:40], 4: core[::-1] + [word(), *gap[:-1]] + core[:40]}
+    rows = [(i, " ".join(t)) for i, t in texts.items()] + [(6, LONG), (60, LONG + "and more")]
+    got = {(g["doc_a"], g["doc_b"]): g for g in passages.repeated(docs_of(spark, rows)).collect()}
+    g = got[2, 1]
+    assert (g["start_a"], g["end_a"], g["start_b"], g["end_b"]) == (40, 1000, 0, 960) and g["n_same"] == 960 - len(range(0, 900, 7)) + int(worn[0] == tail[0])
+    g = got[4, 3]
+    assert (g["start_a"], g["end_a"]) == (0, 600) and g["n_same"] == 599
+    assert (60, 6) in got
+
+
+def test_agreeing_is_the_longest_common_subsequence():
+    r = random.Random(2)
+    for _ in range(200):
+        x, y = ([r.randrange(6) for _ in range(r.randrange(0, 40))] for _ in "ab")
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, a in enumerate(x):
+            for j, b in enumerate(y):
+                best[i + 1][j + 1] = best[i][j] + 1 if a == b else max(best[i][j + 1], best[i + 1][j])
+        assert passages.agreeing(np.array(x, np.uint32), np.array(y, np.uint32)) == best[-1][-1]
+
+
+def test_passage_query_has_a_row_for_either_document(spark, sf):
+    got = queries.QUERIES["op9_substring_dedup"](spark, sf)
+    assert dict(got.dtypes)["doc_id"] == "bigint"
+    pairs = Counter((g["doc_id"], g["start"], g["end"], g["other_doc_id"], g["other_start"], g["other_end"]) for g in got.collect())
+    assert pairs and all(pairs[d, e, f, a, b, c] == n for (a, b, c, d, e, f), n in pairs.items())
+
+
 def test_chains_are_best():
     r = random.Random(6)
     for _ in range(60):
