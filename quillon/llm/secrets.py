@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from quillon.llm.common import batch, sized, written
+from quillon.llm.common import BROADCAST_ROWS, batch, sized, written
 
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -101,16 +101,21 @@ def find(docs: DataFrame, params: SecretParams, repository: str, owner: str) ->
 
 
 def ownership(found: DataFrame, params: SecretParams) -> DataFrame:
-    """hash, repositories, owners, live of every candidate. Null repositories or owners count as one of their own.
+    """hash, repositories, owners, live of every candidate; written. Null repositories or owners count as one of their own.
 
-    Hashes are first made distinct with each repository and owner, so a hash that stands everywhere arrives pre-aggregated.
+    Hashes are first made distinct with each repository and with each owner, so a hash that stands everywhere arrives pre-aggregated.
     """
-    each = found.select("repository", "owner", F.explode("candidates.hash").alias("hash"))
-    each = each.select("hash", F.coalesce("repository", F.lit("\x00")).alias("r"), F.coalesce("owner", F.lit("\x00")).alias("o"))
-    by_repo = each.distinct().groupBy("hash", "r").agg(F.count("*").alias("o"))
-    # an owner in two repositories counts twice: it only makes a copied value look more copied
-    counted = by_repo.groupBy("hash").agg(F.count("*").alias("repositories"), F.sum("o").alias("owners"))
-    return counted.withColumn("live", (F.col("repositories") <= params.repositories) & (F.col("owners") <= params.owners))
+    holders = F.array(F.struct(F.lit(0).alias("kind"), F.coalesce("repository", F.lit("\x00")).alias("name")), F.struct(F.lit(1).alias("kind"), F.coalesce("owner", F.lit("\x00")).alias("name")))
+    each = found.select(holders.alias("held"), F.explode("candidates.hash").alias("hash")).select("hash", F.explode("held").alias("by")).select("hash", "by.kind", "by.name")
+    counted = each.distinct().groupBy("hash").agg(F.count_if(F.col("kind") == 0).alias("repositories"), F.count_if(F.col("kind") == 1).alias("owners"))
+    return written(counted.withColumn("live", (F.col("repositories") <= params.repositories) & (F.col("owners") <= params.owners)), "owned")
+
+
+def alive(each: DataFrame, owned: DataFrame) -> DataFrame:
+    """The rows (hash, ...) whose hash is live. Widely copied ones, of which there can only be few, go before rows are shuffled by hash."""
+    total = owned.agg(F.sum("owners")).head()[0] or 0
+    hot = owned.where(~F.col("live") & (F.col("owners") > max(1000, total // BROADCAST_ROWS))).select("hash")
+    return each.join(F.broadcast(hot), "hash", "left_anti").join(owned.where("live").select("hash"), "hash")
 
 
 def scan(docs: DataFrame, params: SecretParams = SecretParams(), repository: str = "source", owner: str = "doc_id") -> DataFrame:
@@ -118,12 +123,11 @@ def scan(docs: DataFrame, params: SecretParams = SecretParams(), repository: str
 
     base: the spans of the three fixed kinds. added: live opaque tokens beside them. n_live and n_copied count the document's
     candidates by the corpus-wide verdict. Null and empty texts have none; repeated rows are scanned each; a value repeated within
-    a document counts once towards ownership; other columns are not read.
+    a document counts once towards ownership; other columns are not read; an empty table gives no rows.
     """
     found = find(docs, params, repository, owner)
-    live = ownership(found, params).where("live").select("hash")
     each = found.select("row", F.explode("candidates").alias("c")).withColumn("hash", F.col("c.hash"))
-    mine = each.join(live, "hash").groupBy("row").agg(F.array_sort(F.collect_list("c")).alias("alive"))
+    mine = alive(each, ownership(found, params)).groupBy("row").agg(F.array_sort(F.collect_list("c")).alias("alive"))
     both = found.join(mine, "row", "left").withColumn("alive", F.coalesce("alive", F.array().cast(CANDIDATE)))
     return both.select(
         "doc_id",
@@ -143,14 +147,13 @@ def span_text(spans):
 def redact(docs: DataFrame, params: SecretParams = SecretParams(), repository: str = "source", owner: str = "doc_id", mark: str = "[SECRET]") -> DataFrame:
     """The documents with every base span and every live token replaced by ``mark``; n_chars follows where there is such a column.
 
-    All other columns and all rows stay. Which opaque tokens are live is looked up by doc_id; that table is broadcast if it is small.
+    All other columns and all rows stay, null texts as they are; an empty table gives no rows. Which opaque tokens are live is looked up by doc_id; that table is broadcast if it is small.
     """
     entropy, schema = params.entropy, docs.schema
     found = find(docs, params, repository, owner)
-    live = ownership(found, params).where("live").select("hash")
     each = found.where("doc_id IS NOT NULL").select("doc_id", F.explode("candidates").alias("c")).where("c.kind = 3").select("doc_id", F.col("c.hash").alias("hash"))
-    alive = written(each.join(live, "hash").groupBy("doc_id").agg(F.collect_set("hash").alias("__live")), "live").withColumnRenamed("doc_id", "__id")
-    rows = docs.join(sized(alive), F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")
+    live = written(alive(each, ownership(found, params)).groupBy("doc_id").agg(F.collect_set("hash").alias("__live")), "live").withColumnRenamed("doc_id", "__id")
+    rows = docs.join(sized(live), F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")
     at, n = schema.fieldNames().index("text"), schema.fieldNames().index("n_chars") if "n_chars" in schema.fieldNames() else None
 
     def clean(text: str, hashes) -> str:
