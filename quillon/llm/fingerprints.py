@@ -8,16 +8,16 @@ complete below its own threshold, and two sketches are compared below the lower
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from dataclasses import dataclass
 from hashlib import sha256
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import batch, hashes, shingles, shuffle_partitions
+from quillon.llm.common import batch, hashes, labels, shingles, shuffle_partitions
 
 FULL = (1 << 48) - 1
 
@@ -75,7 +75,10 @@ class Sketch:
         return both / a if a else float(not len(self.hashes))
 
     def likeness(self, other: Sketch) -> float:
-        """The mean of both containments: 1 for equal sets, near 0 for unrelated ones; a part of a longer text is halfway at least."""
+        """The mean of both containments: 1 for equal sets, near 0 for unrelated ones; a part of a longer text is halfway at least. Texts without
+        words are like each other and nothing else."""
+        if not len(self.hashes) or not len(other.hashes):
+            return float(len(self.hashes) == len(other.hashes))
         return (self.contained(other) + other.contained(self)) / 2
 
     def text(self) -> str:
@@ -128,14 +131,17 @@ def probe(docs: DataFrame, params: SketchParams = SketchParams()) -> DataFrame:
     cuts = ids.selectExpr(f"approx_percentile(doc_id, array({','.join(str(i / n) for i in range(1, n))}), 10000) AS q").head()[0] if n > 1 else []
     bounds = sorted(set(cuts or []))
 
+    # each range has a number of its own partition
+    numbers = np.array(labels(spark, n)[: len(bounds) + 1], np.int32)
+
     @F.pandas_udf("int")
     def range_of(i):
-        return i.map(lambda x: bisect_right(bounds, x)).astype("int32")
+        return pd.Series(numbers[np.searchsorted(np.array(bounds, np.int64), i.to_numpy(np.int64), "right")])
 
     # the least id of each range, and the range before that has rows (for the first of all: the last)
     firsts = ids.groupBy(range_of("doc_id").alias("at")).agg(F.min("doc_id").alias("first")).collect()
-    order = sorted((r["at"], r["first"]) for r in firsts)
-    before = {first: order[i - 1][0] for i, (_, first) in enumerate(order)}
+    order = sorted((r["first"], r["at"]) for r in firsts)
+    before = {first: order[i - 1][1] for i, (first, _) in enumerate(order)}
     guard = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.create_map().cast("map<bigint,int>")
     # of rows that share a first id, one goes along: the first by text
     rows = picked.withColumn("at", range_of(key)).withColumn("to", F.try_element_at(guard, key))
