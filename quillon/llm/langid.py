@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import batch
+from quillon.llm.common import batch, labels, shuffle_partitions
 
 UNKNOWN = "und"
 TEMPERATURES = np.geomspace(0.02, 5.0, 56)
@@ -28,14 +28,13 @@ TEMPERATURES = np.geomspace(0.02, 5.0, 56)
 
 @dataclass(frozen=True)
 class LangParams:
-    """per_language: at most about so many documents of a language fit and calibrate the model; languages: at most so many, the most
-    frequent. The idf counts all training documents. alpha, beta, l1, l2: of the FTRL updates.
+    """per_language: at most about so many documents of a language fit and calibrate the model; every language has a class, which takes
+    1 MB of a fit task at the default number of features. The idf counts all training documents. alpha, beta, l1, l2: of the FTRL updates.
     smoothing: share of every calibration target that is spread over all languages, so separable languages get no certain scores."""
 
     features: int = 1 << 15
     orders: tuple[int, ...] = (1, 2, 3)
     per_language: int = 1500
-    languages: int = 256
     shards: int = 4
     epochs: int = 2
     alpha: float = 1.0
@@ -154,7 +153,7 @@ def document_frequencies(train: DataFrame, params: LangParams) -> tuple[np.ndarr
 def fit(docs: DataFrame, train: Column, params: LangParams = LangParams()) -> Model | None:
     """A model of the documents for which ``train`` holds and whose lang is not null; None if there are none with a letter."""
     rows = docs.where(train & F.col("lang").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(params.languages).collect()
+    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not found:
         return None
     names = sorted(r["lang"] for r in found)
@@ -167,7 +166,9 @@ def fit(docs: DataFrame, train: Column, params: LangParams = LangParams()) -> Mo
     chance = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) / float(1 << 20)
     drawn = rows.where(chance < F.try_element_at(rate, F.col("lang"))).withColumn("y", F.try_element_at(place, F.col("lang")))
     drawn = drawn.withColumn("deal", F.pmod(F.xxhash64("doc_id", F.lit("deal")), F.lit(5 * params.shards)))
-    shard, hold = F.pmod("deal", F.lit(params.shards)).cast("int"), F.col("deal") < params.shards
+    parts = max(params.shards, shuffle_partitions(docs.sparkSession))
+    shard = F.get(F.array(*map(F.lit, labels(docs.sparkSession, parts)[: params.shards])), F.pmod("deal", F.lit(params.shards)).cast("int"))
+    hold = F.col("deal") < params.shards
     classes = len(names)
 
     def fitted(table: pa.Table) -> pa.Table:
@@ -179,7 +180,7 @@ def fit(docs: DataFrame, train: Column, params: LangParams = LangParams()) -> Mo
         return pa.table({"feature": pa.array(at.astype(np.int32)), "y": pa.array(c.astype(np.int32)), "w": pa.array(w[at, c])})
 
     fit_rows = drawn.where(~hold | (F.lit(len(found)) < 2)).select(shard.alias("shard"), "doc_id", "text", "y")
-    each = fit_rows.groupBy("shard").applyInArrow(fitted, "feature int, y int, w double")
+    each = fit_rows.repartition(parts, "shard").groupBy("shard").applyInArrow(fitted, "feature int, y int, w double")
     mean = each.groupBy("feature", "y").agg((F.sum("w") / params.shards).alias("w")).toPandas()
     w = np.zeros((params.features, classes))
     w[mean["feature"], mean["y"]] = mean["w"]
