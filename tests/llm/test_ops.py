@@ -123,6 +123,28 @@ def test_urls(spark):
     assert urls.judge(d.limit(0), spark.createDataFrame(rules, "host string, path string, verdict string")).count() == 0
 
 
+def test_likeness_is_that_of_whole_sets():
+    r = random.Random(21)
+    whole = fingerprints.SketchParams(fraction=1)
+    for _ in range(40):
+        a = [f"w{r.randrange(60)}" for _ in range(r.randrange(0, 80))]
+        b = [*a[: r.randrange(len(a) + 1)], *(f"w{r.randrange(60)}" for _ in range(r.randrange(0, 30)))]
+        x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (a, b))
+        want = (len(x & y) / len(x) + len(x & y) / len(y)) / 2 if x and y else float(not x and not y)
+        p, q = (fingerprints.Sketch.of(" ".join(w).encode(), whole) for w in (a, b))
+        assert p.likeness(q) == pytest.approx(want)
+    none, some = (fingerprints.Sketch.of(t, fingerprints.SketchParams()) for t in (b" ", b"some words in this text here"))
+    assert (none.likeness(none), none.likeness(some), some.likeness(none)) == (1.0, 0.0, 0.0)
+
+
+def test_likeness_of_sampled_hashes_is_near():
+    r = random.Random(22)
+    a = [f"w{r.randrange(10**6)}" for _ in range(20_000)]
+    b = a[:15_000] + [f"w{r.randrange(10**6)}" for _ in range(5_000)]
+    p, q = (fingerprints.Sketch.of(" ".join(w).encode(), fingerprints.SketchParams()) for w in (a, b))
+    assert len(p.hashes) < 2000 and p.likeness(q) == pytest.approx(0.75, abs=0.04)
+
+
 def test_bpe_equals_tiktoken(spark):
     tiktoken = pytest.importorskip("tiktoken")
     import public_tokenizers as P
@@ -147,6 +169,29 @@ def test_bpe_equals_tiktoken(spark):
         for k, a, b in zip(g["ids"][:200], g["starts"], g["stops"], strict=False):
             assert c.bytes[k] in t[a:b].encode() or len(c.bytes[k]) < len(t[a : b + 1].encode())
     assert bpe.encode(docs_of(spark, rows).limit(0)).count() == 0
+    extra = {g["doc_id"]: g for g in bpe.round_trip(docs_of(spark, rows)).collect()}
+    for g in tokens.collect():
+        if g["doc_id"] not in (4, None):
+            t = texts[g["doc_id"]][0].encode()
+            cuts = np.cumsum([0, *(len(c.bytes[k]) for k in g["ids"])])
+            inside = [0 < k < len(t) and t[k] & 0xC0 == 0x80 for k in cuts]
+            assert extra[g["doc_id"]]["n_split"] == sum(x or y for x, y in zip(inside, inside[1:], strict=False))
+            assert extra[g["doc_id"]]["offsets_sha256"] == hashlib.sha256(np.array([*g["starts"], *g["stops"]], "<i4").tobytes()).hexdigest()
+    assert extra[22]["n_split"] > 0
+
+
+def test_bpe_equals_tiktoken_on_all_letters_and_beyond_what_a_worker_keeps(monkeypatch):
+    tiktoken = pytest.importorskip("tiktoken")
+    import public_tokenizers as P
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    monkeypatch.setattr(bpe, "KEPT", 2000)
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and (i < 0x3000 or i % 11 == 0)]
+    rows = ["".join(f"a{c}b {c}1{c}{c}" for c in points[k : k + 300]) for k in range(0, len(points), 300)]
+    c = bpe.codec()
+    assert [x for group in bpe.chunks(rows) for x in c.encode(group)] == enc.encode_ordinary_batch(rows)
+    assert len(c.kept) <= 2000 + bpe.CHUNK
 
 
 def test_secrets(spark):
