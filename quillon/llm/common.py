@@ -33,10 +33,12 @@ BROADCAST_ROWS = 1_000_000
 def scratch_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (tests on one machine) a temporary folder is made and set.
+    Only where it is unset, and the session runs on one machine, a temporary folder is made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="quillon-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         base = f"file://{folder}"
@@ -52,6 +54,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Deletes the scratch tables that ``df`` reads. Only for tables that nothing reads any more: what was made from them must be written."""
+    spark = df.sparkSession
+    base, jvm = scratch_dir(spark), spark._jvm
+    for f in df.inputFiles():
+        folder = jvm.org.apache.hadoop.fs.Path(f).getParent()
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if folder.getParent().toUri().getPath() == jvm.org.apache.hadoop.fs.Path(base).toUri().getPath() and fs.exists(folder):
+            fs.delete(folder, True)
+
+
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, marked for broadcast if it has at most ``rows`` rows. It should be a written table: it is counted."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
