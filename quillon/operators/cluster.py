@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
 from quillon.operators.knn import cut
-from quillon.operators.search import sized
+
+#: Centroids that every row sees at once.
+CENTERS = 10_000
 
 
 def centroids(vectors: DataFrame, key: str) -> DataFrame:
@@ -18,9 +20,17 @@ def centroids(vectors: DataFrame, key: str) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, centers: DataFrame, id_col: str = "vec_id") -> DataFrame:
-    """id, cluster_id, score of the centroid with the greatest inner product, the least id of equals. centers: cluster_id, embedding."""
+    """id, cluster_id, score of the centroid with the greatest inner product, the least id of equals. centers: cluster_id, embedding.
+
+    Up to CENTERS centroids go to every row as one array, so nothing is shuffled; more are compared pair by pair and aggregated.
+    """
     c = centers.select("cluster_id", F.col("embedding").alias("c"))
-    both = vectors.select(id_col, "embedding").crossJoin(sized(c)).select(id_col, "cluster_id", V.dot("embedding", "c").alias("score"))
+    if c.limit(CENTERS + 1).count() <= CENTERS:
+        all_ = c.agg(F.collect_list(F.struct("cluster_id", "c")).alias("all"))
+        best = F.array_max(F.transform("all", lambda x: F.struct(V.dot("embedding", x["c"]).alias("score"), (-x["cluster_id"]).alias("less"), x["cluster_id"].alias("cluster_id"))))
+        both = vectors.select(id_col, "embedding").crossJoin(F.broadcast(all_)).select(id_col, best.alias("b")).where("b IS NOT NULL")
+        return both.select(id_col, F.col("b.cluster_id").alias("cluster_id"), F.col("b.score").alias("score"))
+    both = vectors.select(id_col, "embedding").crossJoin(c).select(id_col, "cluster_id", V.dot("embedding", "c").alias("score"))
     best = F.max_by(F.struct("cluster_id", "score"), F.struct("score", -F.col("cluster_id"))).alias("b")
     return both.groupBy(id_col).agg(best).select(id_col, F.col("b.cluster_id").alias("cluster_id"), F.col("b.score").alias("score"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -131,12 +132,13 @@ def stale(edges: DataFrame, vectors: DataFrame, id_col: str = "vec_id") -> str:
     return "keep" if ids.join(src, id_col, "left_anti").isEmpty() else "incremental"
 
 
-def bfs_hops(edges: DataFrame, seed: int, depth: int = 64) -> DataFrame:
-    """node, hops of all nodes that the seed reaches over edges (src, dst), the seed at 0. One frontier a round; its lineage is cut."""
+def bfs_hops(edges: DataFrame, seed: int, depth: int | None = None) -> DataFrame:
+    """node, hops of all nodes that the seed reaches over edges (src, dst), the seed at 0; with ``depth`` only those so near. One frontier a round; its
+    lineage is cut."""
     e = edges.select("src", "dst")
     seen = cut(edges.sparkSession.createDataFrame([(seed, 0)], "node long, hops int"))
     front = seen
-    for step in range(1, depth + 1):
+    for step in count(1) if depth is None else range(1, depth + 1):
         front = e.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
         front = cut(front.join(seen, "node", "left_anti").withColumn("hops", F.lit(step)))
         if front.isEmpty():
