@@ -48,3 +48,25 @@ def segments(frames: Column, size: int = 128) -> Column:
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(frames - 1, F.lit(0)), F.lit(size).cast("long"))
     one = lambda s: F.struct(F.greatest(F.least(s, frames - size), F.lit(0).cast("long")).alias("start"), F.least(F.lit(size).cast("long"), frames - s).alias("weight"))
     return F.when(frames > 0, F.transform(starts, one)).otherwise(F.array().cast("array<struct<start:bigint,weight:bigint>>"))
+
+
+def standardized(signal: Column | str, least: float = 1e-7) -> Column:
+    """A signal (array) less its mean, by its standard deviation; ``least`` is added to the variance. An empty or null one stays."""
+    x = F.transform(_c(signal), lambda v: v.cast("double"))
+    sums = F.aggregate(x, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("n")), lambda a, v: F.struct((a["s"] + v).alias("s"), (a["n"] + 1.0).alias("n")), lambda a: F.try_divide(a["s"], a["n"]))
+    centred = F.get(F.transform(F.array(F.struct(x.alias("x"), sums.alias("m"))), lambda t: F.transform(t["x"], lambda v: v - t["m"])), F.lit(0))
+    spread = F.aggregate(centred, F.lit(0.0), lambda a, v: a + v * v)
+    bound = F.array(F.struct(centred.alias("c"), F.sqrt(F.try_divide(spread, F.size(centred)) + least).alias("d")))
+    return F.get(F.transform(bound, lambda t: F.transform(t["c"], lambda v: v / t["d"])), F.lit(0))
+
+
+def moving_average(values: Column | str, weight: float = 0.3) -> Column:
+    """Exponential moving average after the last of some measurements; the newest has ``weight``, and one that follows no positive average starts
+    anew. 0 without measurements."""
+    return F.aggregate(_c(values), F.lit(0.0), lambda a, v: F.when(a <= 0, v.cast("double")).otherwise(a * (1 - weight) + v.cast("double") * weight))
+
+
+def damped(estimates: Column | str, rise: float = 1.2) -> Column:
+    """The last of some estimates (whole numbers) of which each exceeds the one shown before by a factor of ``rise`` at most."""
+    step = lambda a, v: F.when((v > a) & (a > 0), F.least(v.cast("long"), (a * rise).cast("long"))).otherwise(v.cast("long"))
+    return F.aggregate(_c(estimates), F.lit(0).cast("long"), step)

@@ -340,3 +340,13 @@ def queue_status(ranking: DataFrame, matches: DataFrame, queued: DataFrame) -> D
 def visible(missing: DataFrame, dismissed: DataFrame, ignored: DataFrame) -> DataFrame:
     """Entries with a duration that are not hidden."""
     return missing.where("duration_ms > 0").join(dismissed, "file_id", "left_anti").join(ignored, "file_id", "left_anti")
+
+
+def longest_first(missing: DataFrame) -> DataFrame:
+    """Unindexed entries in the order in which they are shown."""
+    return missing.orderBy(F.desc("duration_ms"), "file_id")
+
+
+def by_name(tracks: DataFrame) -> DataFrame:
+    """Tracks of the database alone in the order in which they are shown."""
+    return tracks.orderBy(*[F.lower(F.coalesce(c, F.lit(""))) for c in ("artist", "album", "title")], "track_id")

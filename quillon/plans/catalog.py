@@ -126,6 +126,30 @@ def l2_normalize_check(spark, sf_dir):
     return n.select("vec_id", F.round(V.norm("embedding"), 6).alias("norm_before"), F.round(V.norm("u"), 6).alias("norm_after"), V.is_sane("embedding").alias("sane"), F.round(V.abs_max("embedding"), 9).alias("abs_max"))
 
 
+@query(
+    """
+    WITH m AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+    c AS (SELECT vec_id, list_transform(v, lambda x: x - list_sum(v) / len(v)) AS c FROM m)
+    d AS (SELECT vec_id, c, sqrt(list_sum(list_transform(c, lambda y: y * y)) / len(c) + 1e-7) AS d, unnest(generate_series(1, len(c))) AS i FROM c)
+    SELECT vec_id, i AS place, round(c[i] / d, 6) AS signal FROM d"""
+)
+def signal_standardized(spark, sf_dir):
+    x = X.vectors(spark, sf_dir).select("vec_id", F.posexplode(sequences.standardized("embedding")).alias("at", "x"))
+    return x.select("vec_id", (F.col("at") + 1).cast("long").alias("place"), F.round("x", 6).alias("signal"))
+
+
+@query(
+    """
+    WITH m AS (SELECT vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE) * 1000) AS v FROM embeddings)
+    SELECT vec_id, round(list_reduce(v, lambda a, x: CASE WHEN a <= 0 THEN x ELSE a * 0.7 + x * 0.3 END), 6) AS average,
+           list_reduce(list_transform(v, lambda x: floor(x)::BIGINT), lambda a, x: CASE WHEN x > a AND a > 0 THEN least(x, floor(a * 1.2::DOUBLE)::BIGINT) ELSE x END) AS shown FROM m"""
+)
+def moving_averages(spark, sf_dir):
+    v = X.vectors(spark, sf_dir).select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double")) * 1000).alias("v"))
+    whole = F.transform("v", lambda x: F.floor(x).cast("long"))
+    return v.select("vec_id", F.round(sequences.moving_average("v"), 6).alias("average"), sequences.damped(whole).alias("shown"))
+
+
 _BLEND = (
     "WITH "
     + X.SEEDS

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
@@ -29,6 +29,11 @@ def scan_media(spark: SparkSession, root: str, extensions: tuple[str, ...] = T.S
     return files.where(ending.isin(list(extensions))).select(*columns)
 
 
+def fingerprint() -> Column:
+    """length_modified (milliseconds) of a scanned file: changes with its content, as far as a listing tells."""
+    return F.concat_ws("_", F.col("length"), F.unix_millis("modified"))
+
+
 def with_tags(files: DataFrame, read_tags=None) -> DataFrame:
     """file_path, artist, album, title, duration_ms of files with content.
 

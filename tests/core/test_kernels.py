@@ -12,6 +12,7 @@ from quillon.functions import text as T
 from quillon.functions import vectors as V
 from quillon.operators import cluster, fusion, knn, link, search, select, store
 from quillon.plans import catalog, radio
+from quillon.sources import files
 
 
 def unit(n, dim, seed=0):
@@ -294,3 +295,14 @@ def test_similar_takes_one_source(spark):
     assert radio.similar(v, t, 3, random_seed=1).count() == 3
     assert radio.text_search(v, "x", lambda _: [1.0, 0, 0, 0], 4).count() == 4
     assert isinstance(radio.info({"v": v}).toPandas(), pd.DataFrame)
+
+
+def test_orders_and_folds(spark, tmp_path):
+    entries = spark.createDataFrame([(1, 5), (2, 9), (3, 9)], "file_id long, duration_ms int")
+    assert [r["file_id"] for r in link.longest_first(entries).collect()] == [2, 3, 1]
+    tracks = spark.createDataFrame([(1, "b", "x", "t"), (2, "A", "y", "t"), (3, None, "z", "t"), (4, "a", "X", "t")], "track_id long, artist string, album string, title string")
+    assert [r["track_id"] for r in link.by_name(tracks).collect()] == [3, 4, 2, 1]
+    row = spark.range(1).select(sequences.moving_average(F.array(*map(F.lit, [10.0, 20.0, 0.0]))).alias("a"), sequences.damped(F.array(*map(F.lit, [100, 200, 90]))).alias("b"), sequences.damped(F.array(*map(F.lit, [100, 200]))).alias("c"), sequences.standardized(F.array().cast("array<double>")).alias("d"), sequences.standardized(F.array(F.lit(3.0))).alias("e")).head()
+    assert (row["a"], row["b"], row["c"], row["d"], row["e"]) == (pytest.approx(9.1), 90, 120, [], [0.0])
+    (tmp_path / "a.flac").write_bytes(b"12345")
+    assert files.scan_media(spark, str(tmp_path)).select(files.fingerprint().alias("f")).head()["f"].startswith("5_")
