@@ -129,7 +129,7 @@ def l2_normalize_check(spark, sf_dir):
 @query(
     """
     WITH m AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-    c AS (SELECT vec_id, list_transform(v, lambda x: x - list_sum(v) / len(v)) AS c FROM m)
+    c AS (SELECT vec_id, list_transform(v, lambda x: x - list_sum(v) / len(v)) AS c FROM m),
     d AS (SELECT vec_id, c, sqrt(list_sum(list_transform(c, lambda y: y * y)) / len(c) + 1e-7) AS d, unnest(generate_series(1, len(c))) AS i FROM c)
     SELECT vec_id, i AS place, round(c[i] / d, 6) AS signal FROM d"""
 )
