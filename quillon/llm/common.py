@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -74,7 +75,8 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) ->
     """Arrow batches of at most so many rows and about so many bytes: with Spark's 10,000 rows, batches of long texts would fill the memory of
     executors and workers. Smaller settings of the session stay."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
-        if not 0 < int(spark.conf.get(key).rstrip("bB")) <= most:
+        n, unit = re.fullmatch(r"(-?\d+)([kmgt]?)b?", spark.conf.get(key).lower()).groups()
+        if not 0 < int(n) << (10 * " kmgt".index(unit or " ")) <= most:
             spark.conf.set(key, str(most))
 
 
