@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,22 @@ def window_count(samples: Column, rate: int = 24_000, seconds: int = 5) -> Colum
     return F.floor(samples / size).cast("long") + F.when(samples % size >= rate, 1).otherwise(0)
 
 
+def carried_windows(samples: Column | str, chunks: WindowSpec, size: int) -> tuple[Column, Column]:
+    """Of a stream decoded in chunks of so many samples: the windows of ``size`` that each chunk completes, with what the chunks before it left, and the
+    samples it leaves for the next. ``chunks``: a stream's chunks in order. Both follow from a running sum, so no chunk waits for another's state.
+    Null counts as no samples."""
+    n = F.coalesce(_c(samples), F.lit(0)).cast("long")
+    so_far = F.sum(n).over(chunks.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return F.floor(so_far / size).cast("long") - F.floor((so_far - n) / size).cast("long"), so_far % size
+
+
+def refresh_reason(count: Column, now_print: Column, saved_print: Column, checked_ms: Column, now_ms: Column, hours: int = 24) -> Column:
+    """Why a saved count of missing tracks is to be taken anew, null if it isn't: ``count`` -1 while it is being taken, -2 before the first time."""
+    reasons = F.when(count == -2, "count not checked yet").when(~now_print.eqNullSafe(saved_print), "database fingerprint changed")
+    reasons = reasons.when(F.coalesce(checked_ms, F.lit(0)) <= 0, "missing freshness timestamp")
+    return F.when(count != -1, reasons.when(now_ms - checked_ms >= hours * 3_600_000, f"stale after {hours}h"))
+
+
 def segments(frames: Column, size: int = 128) -> Column:
     """Segments of ``size`` frames as (start, weight): the last one is moved back to be whole and weighs the frames it adds."""
     frames = frames.cast("long")

@@ -143,6 +143,15 @@ def query_tokens(q: str) -> list[str]:
     return q.lower().split()
 
 
+def state_key(text: Column | str, weight: Column | str, negative: Column | str, seeds: Column | str) -> Column:
+    """All fields of a search in one string: its text, weight and sign, then ``|id:weight:sign`` of each of ``seeds`` (an array of structs of id, weight,
+    negative). Two searches of one key are the same search."""
+    said = lambda x: F.coalesce(x.cast("string"), F.lit("null"))
+    head = F.concat_ws("|", F.coalesce(_c(text), F.lit("")), said(_c(weight)), said(_c(negative)))
+    each = F.transform(_c(seeds), lambda s: F.concat_ws(":", said(s["id"]), said(s["weight"]), said(s["negative"])))
+    return F.concat_ws("|", head, each)
+
+
 def text_lines(s: Column | str, separator: str = "</s>") -> Column:
     """Distinct non-empty lines of a text in order, joined by a separator."""
     return F.array_join(F.array_distinct(F.filter(F.split(_c(s), "\n"), lambda x: x != "")), separator)

@@ -77,14 +77,15 @@ def _bound(value: Column, f) -> Column:
 
 
 def vec_mean(df, keys: list[str], column: str = "embedding", weight: str | None = None):
-    """keys, embedding: the (weighted) mean vector of each group.
+    """keys, embedding: the (weighted) mean vector of each group. A mask of 0 and 1 as ``weight`` gives the mean of the rows it keeps; elements
+    are null where the weights add up to 0.
 
     Elements are exploded and averaged by (keys, place): partial sums are made before the shuffle, so a group of any size, also one that
     holds most rows, moves a vector for each task only.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     each = df.select(*keys, w.alias("__w"), F.posexplode(column).alias("__at", "__x"))
-    mean = (F.sum(F.col("__x").cast("double") * F.col("__w")) / F.sum("__w")).alias("__x")
+    mean = F.try_divide(F.sum(F.col("__x").cast("double") * F.col("__w")), F.sum("__w")).alias("__x")
     sums = each.groupBy(*keys, "__at").agg(mean)
     out = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__at", "__x"))).alias("__v"))
     return out.select(*keys, F.transform("__v", lambda s: s["__x"]).alias(column))

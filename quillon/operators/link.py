@@ -350,3 +350,12 @@ def longest_first(missing: DataFrame) -> DataFrame:
 def by_name(tracks: DataFrame) -> DataFrame:
     """Tracks of the database alone in the order in which they are shown."""
     return tracks.orderBy(*[F.lower(F.coalesce(c, F.lit(""))) for c in ("artist", "album", "title")], "track_id")
+
+
+def presence(rows: DataFrame, expected: DataFrame, key: str = "metadata_key") -> DataFrame:
+    """label, shown, verdict: whether each key of ``expected`` (label, key, present) stands among the rows, and PASS if that is as expected, else FAIL.
+    Only the expected keys are kept of the rows, before any shuffle."""
+    wanted = F.broadcast(expected) if expected.limit(1001).count() <= 1000 else expected
+    there = rows.select(key).join(wanted.select(key), key, "left_semi").distinct().withColumn("__there", F.lit(True))
+    shown = F.coalesce("__there", F.lit(False))
+    return expected.join(there, key, "left").select("label", shown.alias("shown"), F.when(shown == F.col("present"), "PASS").otherwise("FAIL").alias("verdict"))

@@ -59,6 +59,14 @@ def seed_ranks(scores: DataFrame, targets: DataFrame, id_col: str = "vec_id") ->
     return t.join(found, ["query_id", id_col], "left").select("query_id", id_col, F.coalesce("seed_rank", F.lit(-1)).alias("seed_rank"))
 
 
+def reference_ranks(vectors: DataFrame, references: DataFrame, id_col: str = "vec_id") -> DataFrame:
+    """query_id, id, seed_rank: of each pick by the vector that its query had drifted to when it was picked. references: query_id, id, q; ranks as
+    in ``seed_ranks``. Each pick asks for itself, so the references of all playlists share one scan."""
+    each = references.select(F.struct("query_id", id_col).alias("query_id"), id_col, "q")
+    found = seed_ranks(all_similarities(vectors, each.select("query_id", "q"), id_col=id_col), each.select("query_id", id_col), id_col)
+    return found.select("query_id.query_id", id_col, "seed_rank")
+
+
 def ranks(scores: DataFrame, group: str, score: str, tie: str) -> DataFrame:
     """scores with ``rank`` (from 0, ascending by score and then tie) and ``total`` of each group.
 
@@ -86,6 +94,17 @@ def keyword_search(rows: DataFrame, q: str, columns: list[str], order: list, lim
     return rows.where(contains_all(T.query_tokens(q), columns)).orderBy(*order).limit(limit)
 
 
+def confirmed(seeds: DataFrame, rows: DataFrame, columns: list[str], order: list[str], id_col: str) -> DataFrame:
+    """seeds (seed_id, query, id) with the id of those that have none and a query that isn't blank: the first row, in the given order, that
+    ``keyword_search`` finds. The others stay as they are. Seeds are few and go to the rows; each task keeps one row a seed."""
+    words = F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != "")
+    asked = seeds.where(F.col(id_col).isNull() & (F.trim("query") != "")).select("seed_id", words.alias("__words"))
+    hay = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in columns]))
+    found = rows.select(*dict.fromkeys([id_col, *order]), hay.alias("__hay")).crossJoin(sized(asked)).where(F.forall("__words", lambda w: F.contains("__hay", w)))
+    first = found.groupBy("seed_id").agg(F.min_by(F.col(id_col), F.struct(*order)).alias("__id"))
+    return seeds.join(first, "seed_id", "left").withColumn(id_col, F.coalesce(id_col, "__id")).drop("__id")
+
+
 def contains_any(rows: DataFrame, q: str, columns: list[str]) -> DataFrame:
     """Rows with ``q`` in any of the columns, in either case; all rows for a blank one."""
     if not q.strip():

@@ -139,6 +139,16 @@ def first_known(*sources: DataFrame, key: str = "id") -> DataFrame:
     return best.select(key, *[F.col(f"__x.{c}").alias(c) for c in rest])
 
 
+def available_models(spark, prefix: str = "embeddings_") -> DataFrame:
+    """model, n: the tables and views of the catalog whose name begins with ``prefix``, without it, and their rows; empty ones are left out."""
+    from functools import reduce
+
+    names = sorted({t.name for t in spark.catalog.listTables() if t.name.startswith(prefix)})
+    none = spark.createDataFrame([], "model string, n long")
+    counts = [spark.table(f"`{x}`").agg(F.count("*").alias("n")).select(F.lit(x.removeprefix(prefix)).alias("model"), "n") for x in names]
+    return reduce(DataFrame.unionByName, counts, none).where("n > 0")
+
+
 def positive_setting(explicit: int | None, settings: DataFrame, key: str, default: int) -> int:
     """A setting: the explicit one, else a positive whole number stored under ``key`` (key, value), else the default."""
     if explicit is not None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import registry, sequences
@@ -750,3 +751,102 @@ def sql_functions(spark, sf_dir):
 def current_track_of_three_sources(spark, sf_dir):
     e = X.vectors(spark, sf_dir).select(F.col("vec_id").alias("id"))
     return store.first_known(e.where("id % 2 = 0").withColumn("source", F.lit("sticky")), e.where("id % 3 = 0").withColumn("source", F.lit("memory")), e.withColumn("source", F.lit("stored")))
+
+
+@query(
+    """
+    SELECT label, i AS place, round(sum(x * (vec_id % 3 <> 0)::INT) / nullif(sum((vec_id % 3 <> 0)::INT), 0), 6) AS mean
+    FROM (SELECT label, vec_id, unnest(embedding::DOUBLE[]) AS x, unnest(generate_series(1, len(embedding))) AS i FROM embeddings) GROUP BY 1, 2"""
+)
+def masked_mean_pooling(spark, sf_dir):
+    v = X.vectors(spark, sf_dir).select("label", "embedding", F.when(F.col("vec_id") % 3 != 0, 1).otherwise(0).alias("mask"))
+    means = V.vec_mean(v, ["label"], weight="mask").select("label", F.posexplode("embedding").alias("at", "mean"))
+    return means.select("label", (F.col("at") + 1).cast("long").alias("place"), F.round("mean", 6).alias("mean"))
+
+
+@query(
+    """
+    WITH p AS (SELECT user_id, event_id, event_id * 7919 % 300 AS samples FROM events),
+    s AS (SELECT *, sum(samples) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS so_far FROM p)
+    SELECT event_id, so_far // 120 - (so_far - samples) // 120 AS windows, so_far % 120 AS carry FROM s"""
+)
+def carried_tail_windows(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") * 7919 % 300).alias("samples"))
+    windows, carry = sequences.carried_windows("samples", Window.partitionBy("user_id").orderBy("event_id"), 120)
+    return e.select("event_id", windows.alias("windows"), carry.alias("carry"))
+
+
+@query(
+    """
+    SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN 'count not checked yet' WHEN event_id % 7 <> 0 THEN 'database fingerprint changed'
+           WHEN event_id % 3 = 0 THEN 'missing freshness timestamp' WHEN event_id % 48 >= 24 THEN 'stale after 24h' END AS reason FROM events"""
+)
+def refresh_reasons(spark, sf_dir):
+    n = F.col("event_id")
+    hour = 3_600_000
+    count = F.when(n % 5 == 0, -1).when(n % 5 == 1, -2).otherwise(n % 5)
+    checked = F.when(n % 3 != 0, F.lit(hour))
+    reason = sequences.refresh_reason(count, n % 7, F.lit(0), checked, (n % 48 + 1) * hour)
+    return table(spark, sf_dir, "events").select("event_id", reason.alias("reason"))
+
+
+@query("SELECT vec_id, 'song ' || label || '|0.5|' || (vec_id % 2 = 0)::VARCHAR || '|' || vec_id || ':1.5:false|' || label || ':0.25:true' AS state_key FROM embeddings")
+def search_state_keys(spark, sf_dir):
+    seed = lambda i, w, no: F.struct(F.col(i).cast("long").alias("id"), F.lit(w).alias("weight"), F.lit(no).alias("negative"))
+    key = T.state_key(F.concat(F.lit("song "), F.col("label").cast("string")), F.lit(0.5), F.col("vec_id") % 2 == 0, F.array(seed("vec_id", 1.5, False), seed("label", 0.25, True)))
+    return X.vectors(spark, sf_dir).select("vec_id", key.alias("state_key"))
+
+
+@query(
+    """
+    WITH t AS (SELECT s.vec_id AS query_id, p.vec_id AS vec_id, s.embedding::DOUBLE[] AS q, list_inner_product(p.embedding::DOUBLE[], s.embedding::DOUBLE[]) AS mine
+               FROM embeddings s JOIN embeddings p ON p.vec_id = s.vec_id + 1 WHERE s.vec_id % 20 = 0)
+    SELECT t.query_id AS query_id, t.vec_id AS vec_id, (1 + count(*) FILTER (WHERE list_inner_product(e.embedding::DOUBLE[], t.q) > t.mine))::INT AS seed_rank
+    FROM t, embeddings e GROUP BY 1, 2"""
+)
+def drift_reference_ranks(spark, sf_dir):
+    v = X.vectors(spark, sf_dir)
+    at = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), (F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("q"))
+    return search.reference_ranks(v, at.join(v.select("vec_id"), "vec_id", "left_semi"))
+
+
+@query(
+    """
+    WITH s(seed_id, query, p_partkey) AS (VALUES (1, ' Red BRAND#1 ', NULL), (2, 'bolt', NULL), (3, ' ', NULL), (4, 'no such part', NULL), (5, 'red', 7)),
+    w AS (SELECT *, list_filter(string_split(lower(query), ' '), lambda x: x <> '') AS w FROM s),
+    f AS (SELECT w.seed_id, p.p_partkey, row_number() OVER (PARTITION BY w.seed_id ORDER BY p_name, p.p_partkey) AS n
+          FROM w JOIN part p ON len(w) > 0 AND len(list_filter(w, lambda x: NOT contains(lower(p_name || ' ' || p_brand || ' ' || p_type), x))) = 0)
+    SELECT w.seed_id AS seed_id, w.query AS query, coalesce(w.p_partkey, f.p_partkey)::BIGINT AS p_partkey FROM w LEFT JOIN f ON f.seed_id = w.seed_id AND f.n = 1"""
+)
+def auto_confirmed_seeds(spark, sf_dir):
+    seeds = spark.createDataFrame([(1, " Red BRAND#1 ", None), (2, "bolt", None), (3, " ", None), (4, "no such part", None), (5, "red", 7)], "seed_id int, query string, p_partkey long")
+    return search.confirmed(seeds, table(spark, sf_dir, "part"), ["p_name", "p_brand", "p_type"], ["p_name", "p_partkey"], "p_partkey").withColumn("p_partkey", F.col("p_partkey").cast("long"))
+
+
+@query("SELECT 'quillon_even' AS model, count(*) AS n FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT 'quillon_odd', count(*) FROM embeddings WHERE vec_id % 2 = 1")
+def available_models(spark, sf_dir):
+    v = X.vectors(spark, sf_dir)
+    for name, rows in (("even", "vec_id % 2 = 0"), ("odd", "vec_id % 2 = 1"), ("none", "vec_id < 0")):
+        v.where(rows).createOrReplaceTempView(f"embeddings_quillon_{name}")
+    return store.available_models(spark)
+
+
+@query(
+    """
+    WITH k AS (SELECT DISTINCT p_name AS k FROM part), e AS (SELECT 'first' AS label, min(p_name) AS k, true AS present FROM part UNION ALL SELECT 'last', max(p_name), false FROM part
+               UNION ALL SELECT 'absent', 'no such part', false UNION ALL SELECT 'lost', 'nor this', true)
+    SELECT label, k.k IS NOT NULL AS shown, CASE WHEN (k.k IS NOT NULL) = present THEN 'PASS' ELSE 'FAIL' END AS verdict FROM e LEFT JOIN k ON e.k = k.k"""
+)
+def presence_battery(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_name").alias("metadata_key"))
+    ends = p.agg(F.min("metadata_key").alias("a"), F.max("metadata_key").alias("b"))
+    row = lambda label, key, present: F.struct(F.lit(label).alias("label"), key.alias("metadata_key"), F.lit(present).alias("present"))
+    rows = [row("first", F.col("a"), True), row("last", F.col("b"), False), row("absent", F.lit("no such part"), False), row("lost", F.lit("nor this"), True)]
+    return link.presence(p, ends.select(F.inline(F.array(*rows))))
+
+
+@query()
+def radio_preview(spark, sf_dir):
+    v = X.vectors(spark, sf_dir)
+    s = v.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "vec_id")
+    return radio.preview(v, X.vector_tracks(spark, sf_dir), s, edges=knn.weights(knn.build(v)))

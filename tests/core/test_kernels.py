@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import sequences
@@ -306,3 +307,32 @@ def test_orders_and_folds(spark, tmp_path):
     assert (row["a"], row["b"], row["c"], row["d"], row["e"]) == (pytest.approx(9.1), 90, 120, [], [0.0])
     (tmp_path / "a.flac").write_bytes(b"12345")
     assert files.scan_media(spark, str(tmp_path)).select(files.fingerprint().alias("f")).head()["f"].startswith("5_")
+
+
+def test_preview_shows_every_mode(spark):
+    v = table(spark, unit(30, 5, 11))
+    t = v.select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") != 3, F.concat(F.lit("artist "), F.col("label").cast("string"))).alias("artist"), F.concat(F.lit("song "), F.col("vec_id").cast("string")).alias("title"))
+    s = v.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "vec_id")
+    got = radio.preview(v, t, s, size=5).toPandas()
+    for mode in radio.MODES:
+        want = radio.playlist(v, t, s, radio.RadioConfig(tracks=5, mode=mode)).toPandas().sort_values("position")
+        lines = [f"{a} \u2013 {b if b is not None else '?'}" for a, b in zip(want["title"], want["artist"], strict=True)]
+        assert got[got["mode"] == mode].sort_values("position")["line"].tolist() == lines
+
+
+def test_masks_chunks_and_reasons(spark):
+    v = spark.createDataFrame([(1, [1.0, 2.0], 1), (1, [3.0, 6.0], 0), (2, [5.0, 5.0], 0)], "k int, embedding array<double>, mask int")
+    assert {r["k"]: r["embedding"] for r in V.vec_mean(v, ["k"], weight="mask").collect()} == {1: [1.0, 2.0], 2: [None, None]}
+    chunks = [5, 0, None, 12, 3, 1]
+    rows = spark.createDataFrame(list(enumerate(chunks)), "i int, n int")
+    windows, carry = sequences.carried_windows("n", Window.partitionBy(F.lit(0)).orderBy("i"), 7)
+    got, left = [(r["w"], r["c"]) for r in rows.select("i", windows.alias("w"), carry.alias("c")).orderBy("i").collect()], 0
+    for n, (w, c) in zip(chunks, got, strict=True):
+        left += n or 0
+        assert (w, c) == divmod(left, 7)
+        left %= 7
+    reason = lambda *x: sequences.refresh_reason(*map(F.lit, x))
+    cases = [reason(-1, "a", "b", 0, 0), reason(-2, "a", "a", 1, 1), reason(4, "a", None, 1, 1), reason(4, "a", "a", 0, 1), reason(4, "a", "a", 1, 86_400_001), reason(4, "a", "a", 1, 86_400_000)]
+    assert list(spark.range(1).select(*cases).head()) == [None, "count not checked yet", "database fingerprint changed", "missing freshness timestamp", "stale after 24h", None]
+    assert spark.range(1).select(T.state_key(F.lit("x"), F.lit(1.0), F.lit(False), F.array().cast("array<struct<id:bigint,weight:double,negative:boolean>>"))).head()[0] == "x|1.0|false"
+    assert store.available_models(spark, "nothing_of_this_name_").count() == 0
