@@ -77,26 +77,26 @@ def joined(spans: list[tuple]) -> str:
 
 
 CANDIDATE = "array<struct<start:int,kind:int,stop:int,hash:long>>"
-FOUND = f"doc_id long, repository string, owner string, candidates {CANDIDATE}"
+FOUND = f"doc_id long, key long, repository string, owner string, candidates {CANDIDATE}"
 _C = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32()), ("hash", pa.int64())]))
-FOUND_SCHEMA = pa.schema([("doc_id", pa.int64()), ("repository", pa.string()), ("owner", pa.string()), ("candidates", _C)])
+FOUND_SCHEMA = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("repository", pa.string()), ("owner", pa.string()), ("candidates", _C)])
 
 
 def find(docs: DataFrame, params: SecretParams, repository: str, owner: str) -> DataFrame:
-    """Every document's candidates of all kinds, and a row number; written once, as it is read several times."""
+    """Every document's candidates of all kinds, a hash of its text (key) and a row number; written once, as it is read several times."""
     entropy = params.entropy
 
     def run(parts):
         for part in parts:
-            ids, repos, owners, all_ = (c.to_pylist() for c in part.columns)
+            ids, keys, repos, owners, all_ = (c.to_pylist() for c in part.columns)
             rows = []
-            for i, r, o, text in zip(ids, repos, owners, all_, strict=True):
+            for i, x, r, o, text in zip(ids, keys, repos, owners, all_, strict=True):
                 base = base_spans(text) if text else []
                 spans = base + (other_spans(text, base, entropy) if text else [])
-                rows.append((i, r, o, [(s, k, e, digest(x)) for s, k, e, x in spans]))
+                rows.append((i, x, r, o, [(s, k, e, digest(v)) for s, k, e, v in spans]))
             yield batch(rows, FOUND_SCHEMA)
 
-    picked = docs.select(F.col("doc_id").cast("long"), F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"), "text")
+    picked = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"), "text")
     return written(picked.mapInArrow(run, FOUND).withColumn("row", F.monotonically_increasing_id()), "secrets")
 
 
@@ -147,13 +147,14 @@ def span_text(spans):
 def redact(docs: DataFrame, params: SecretParams = SecretParams(), repository: str = "source", owner: str = "doc_id", mark: str = "[SECRET]") -> DataFrame:
     """The documents with every base span and every live token replaced by ``mark``; n_chars follows where there is such a column.
 
-    All other columns and all rows stay, null texts as they are; an empty table gives no rows. Which opaque tokens are live is looked up by doc_id; that table is broadcast if it is small.
+    All other columns and all rows stay, also those with null or repeated ids; null texts stay as they are; an empty table gives no rows. Which opaque tokens are
+    live is looked up by a hash of the text, so equal texts are redacted alike; that table is broadcast if it is small.
     """
     entropy, schema = params.entropy, docs.schema
     found = find(docs, params, repository, owner)
-    each = found.where("doc_id IS NOT NULL").select("doc_id", F.explode("candidates").alias("c")).where("c.kind = 3").select("doc_id", F.col("c.hash").alias("hash"))
-    live = written(alive(each, ownership(found, params)).groupBy("doc_id").agg(F.collect_set("hash").alias("__live")), "live").withColumnRenamed("doc_id", "__id")
-    rows = docs.join(sized(live), F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")
+    each = found.select("key", F.explode("candidates").alias("c")).where("c.kind = 3").select("key", F.col("c.hash").alias("hash")).distinct()
+    live = written(alive(each, ownership(found, params)).groupBy("key").agg(F.collect_set("hash").alias("__live")), "live").withColumnRenamed("key", "__key")
+    rows = docs.join(sized(live), F.xxhash64("text") == F.col("__key"), "left").drop("__key")
     at, n = schema.fieldNames().index("text"), schema.fieldNames().index("n_chars") if "n_chars" in schema.fieldNames() else None
 
     def clean(text: str, hashes) -> str:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import fim, licenses, periodic, queries
+from quillon.llm import fim, licenses, periodic, queries, secrets
 from tests.llm.test_ops import LONG, ODD, docs_of, key
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -240,3 +240,29 @@ def test_runs_of_nothing(spark):
     assert periodic.find(docs_of(spark, ODD).limit(0)).count() == 0
     got = {(g["doc_id"], g["n_words"], g["collapsed"]) for g in periodic.find(docs_of(spark, ODD[:5])).collect()}
     assert got == {(1, 0, ""), (2, 0, ""), (3, 0, ""), (4, 1, "word")}
+
+
+def test_redaction_needs_no_ids(spark):
+    """Live tokens go whatever the ids: null, repeated, or shared with another text."""
+    r = random.Random(8)
+    token = lambda i: f"Kx{i}" + "".join(r.choice("abcdefGHIJKLmnop0123456789") for _ in range(32))
+    live = [token(i) for i in range(5)]
+    rows = [(None, f"one {live[0]} end"), (None, f"two {live[1]}"), (7, f"three {live[2]}"), (7, f"four {live[3]}"), (7, "no token here"), (8, f"{live[4]} {live[4]}"), (None, None), (9, "")]
+    docs = docs_of(spark, rows)
+    got = sorted((g["doc_id"], g["text"], g["n_chars"]) for g in secrets.redact(docs).where("text <> ''").collect() if g["doc_id"] is not None)
+    assert [t for _, t, _ in got] == ["four [SECRET]", "no token here", "three [SECRET]", "[SECRET] [SECRET]"]
+    all_ = [g["text"] or "" for g in secrets.redact(docs).collect()]
+    assert len(all_) == len(rows) and not any(x in t for x in live for t in all_)
+    assert {t for t in all_ if t.startswith(("one", "two"))} == {"one [SECRET] end", "two [SECRET]"}
+
+
+def test_pipeline_redacts_every_row(spark, sf):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)["secret_scans"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    token = "Qz7" + "aBcDeFgHiJkLmNoP" * 2 + "0123"
+    odd = docs.limit(1).select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(f"it says {token} there").alias("text"), "lang", "source", "n_chars")
+    out = stage(spark, docs.unionByName(odd), sf)
+    assert out.where(F.contains("text", F.lit(token))).count() == 0 and out.where("doc_id IS NULL").count() == 1
+    assert out.count() == docs.count() + 1
