@@ -182,6 +182,63 @@ def artist_variants(a: Column | str) -> Column:
     return F.array_distinct(F.concat(names, swapped, undotted, unknown))
 
 
+def artist_spellings(a: Column | str) -> Column:
+    """Names under which another catalog may have an artist, itself first: parts between ``;`` or `` / ``, what stands before the first comma, without
+    the dots at its end and without any (a short name without dots: with one at its end), `` & `` and " and " exchanged, the unknown artist for none."""
+    a = _c(a)
+    none = F.array().cast("array<string>")
+    parts = lambda sep: F.when(F.contains(a, F.lit(sep)), F.transform(F.split(a, sep, -1), strip)).otherwise(none)
+    comma = F.when(F.contains(a, F.lit(",")), F.array(strip(F.split_part(a, F.lit(","), F.lit(1))))).otherwise(none)
+    dots = F.when(F.contains(a, F.lit(".")) & (F.length(a) > 1), F.array(F.regexp_replace(a, r"\.+$", ""), F.translate(a, ".", ""))).when(F.length(a).between(1, 5), F.array(F.concat(a, F.lit(".")))).otherwise(none)
+    swap = lambda x, y: F.array(F.replace(a, F.lit(x), F.lit(y)))
+    swapped = F.when(F.contains(a, F.lit(" & ")), swap(" & ", " and ")).when(F.contains(a, F.lit(" and ")), swap(" and ", " & ")).otherwise(none)
+    unknown = F.when(a == "", F.array(F.lit("unknown artist"))).otherwise(none)
+    return F.array_distinct(F.concat(F.array(a), parts(";"), comma, parts(" / "), dots, swapped, unknown))
+
+
+def _tagged(tag: str, names: Column) -> Column:
+    return F.transform(names, lambda x: F.concat(F.lit(tag), x))
+
+
+def _starts(s: Column, longest: Column, low: int = 25, high: int = 30) -> Column:
+    """The starts of a text that are ``low`` to ``high`` and at most ``longest`` characters long."""
+    sizes = F.filter(F.array(*[F.lit(k) for k in range(low, high + 1)]), lambda k: k <= longest)
+    return F.transform(sizes, lambda k: F.substr(s, F.lit(1), k))
+
+
+def _within(s: Column, low: int = 25, high: int = 30) -> Column:
+    return F.when(F.length(s).between(low, high), F.array(s)).otherwise(F.array().cast("array<string>"))
+
+
+def artist_keys(a: Column | str, entry: bool) -> Column:
+    """Keys by which artists of entries and of tracks meet: an entry's spellings and a track's name, or one the start, 25 to 30 characters long, of
+    the other. Equal keys on both sides are what makes a candidate."""
+    a = _c(a)
+    starts = _starts(a, F.length(a))
+    if entry:
+        return F.concat(_tagged("a", artist_spellings(a)), _tagged("b", _within(a)), _tagged("c", starts))
+    return F.concat(_tagged("a", F.array(a)), _tagged("b", starts), _tagged("c", _within(a)))
+
+
+def title_keys(s: Column | str, entry: bool) -> Column:
+    """Keys by which fuzzily equal titles of entries and tracks meet: two titles have one in common exactly if ``fuzzy_title`` holds."""
+    s = _c(s)
+    none = F.array().cast("array<string>")
+    bare, loose = strip_audio_extension(s), loose_title(s)
+    shorter = _starts(s, F.length(s) - 1)
+    ended = F.when(bare != s, F.array(bare)).otherwise(none)
+    own, other = ("e", "x") if entry else ("x", "e")
+    cut, whole = ("q", "p") if entry else ("p", "q")
+    numbered = _tagged("s", F.array(s, strip_track_number(s)))
+    return F.array_distinct(F.concat(numbered, _tagged(own, ended), _tagged(other, F.array(s)), _tagged("l", F.when(loose != "", F.array(loose)).otherwise(none)), _tagged(cut, shorter), _tagged(whole, _within(s))))
+
+
+def fuzzy_keys(artist: Column | str, title: Column | str, entry: bool) -> Column:
+    """Keys of artist and title together: an entry and a track that have one in common are fuzzy candidates."""
+    titles = title_keys(title, entry)
+    return F.flatten(F.transform(artist_keys(artist, entry), lambda a: F.transform(titles, lambda x: F.concat(a, F.lit("\x00"), x))))
+
+
 def truncated_match(a: Column, b: Column, low: int = 25, high: int = 30) -> Column:
     """One is the start of the other and 25 to 30 characters long: what fixed-width tags leave of a longer text."""
     cut = lambda x, y: F.length(x).between(low, high) & y.startswith(x)
@@ -191,6 +248,6 @@ def truncated_match(a: Column, b: Column, low: int = 25, high: int = 30) -> Colu
 def fuzzy_title(a: Column | str, b: Column | str) -> Column:
     """Equal, or equal without track numbers, audio endings or decoration, or truncated."""
     a, b = _c(a), _c(b)
-    same = (a == b) | (strip_track_number(a) == b) | (a == strip_track_number(b)) | (strip_audio_extension(a) == b) | (a == strip_audio_extension(b))
+    same = (a == b) | (strip_track_number(a) == b) | (a == strip_track_number(b)) | (strip_track_number(a) == strip_track_number(b)) | (strip_audio_extension(a) == b) | (a == strip_audio_extension(b))
     x, y = loose_title(a), loose_title(b)
     return same | truncated_match(a, b) | ((x == y) & (x != ""))

@@ -4,25 +4,23 @@ tracks: track_id, metadata_key, filename_key, filename_keys, artist, album, titl
 library: file_id, metadata_key, filename_keys, artist, album, title (normalized), duration_ms, path.
 
 A level of a cascade is an equi-join. Candidates of all levels are united and ranked, or, where pairs must be 1:1, levels run in
-turn on what is left. Greedy pairing looks at one key at a time, in the order of ids.
+turn on what is left (``pairing``).
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.operators import pairing
 from quillon.operators.knn import cut
 
 LEVELS = ("PATH", "METADATA_EXACT", "ARTIST_ALBUM_TITLE", "FILENAME", "ARTIST_TITLE", "FUZZY")
 PASSES = ("PATH", "METADATA", "FILENAME", "ARTIST_ALBUM_TITLE", "ARTIST_TITLE", "FUZZY")
 REASONS = ("NO_SIMILAR_KEY", "DURATION_ONLY", "TITLE_MISMATCH")
-#: Candidate pairs that one task takes one by one.
-SMALL = 100_000
 
 
 def catalog(rows: DataFrame) -> DataFrame:
@@ -109,101 +107,19 @@ def match_counts(t: DataFrame, matches: DataFrame) -> DataFrame:
 
 def pair_exact(t: DataFrame, lib: DataFrame, t_key: str, l_key: str) -> DataFrame:
     """1:1 pairs (track_id, file_id): within a key the i-th track by id with the i-th entry by id. Blank and null keys pair nothing."""
-    n = lambda key, i: F.row_number().over(Window.partitionBy(key).orderBy(i))
-    a = t.where(F.coalesce(F.col(t_key), F.lit("")) != "").select("track_id", F.col(t_key).alias("key"), n(t_key, "track_id").alias("i"))
-    b = lib.where(F.coalesce(F.col(l_key), F.lit("")) != "").select("file_id", F.col(l_key).alias("key"), n(l_key, "file_id").alias("i"))
-    return a.join(b, ["key", "i"]).select("track_id", "file_id")
-
-
-def _greedy(pdf: pd.DataFrame, order: list[str]) -> pd.DataFrame:
-    """Of candidate pairs, sorted, each whose both sides are still free."""
-    seen_t, seen_l, out = set(), set(), []
-    for t, f in pdf.sort_values(order)[["track_id", "file_id"]].itertuples(index=False):
-        if t not in seen_t and f not in seen_l:
-            seen_t.add(t)
-            seen_l.add(f)
-            out.append((t, f))
-    return pd.DataFrame(out, columns=["track_id", "file_id"])
+    named = lambda d, key, i: d.where(F.coalesce(F.col(key), F.lit("")) != "").select(F.col(key).alias("key"), i)
+    return pairing.by_place(named(t, t_key, "track_id"), named(lib, l_key, "file_id"), ["key"], "track_id", "file_id")
 
 
 def pair_by_duration(t: DataFrame, lib: DataFrame, keys: list[str]) -> DataFrame:
-    """1:1 pairs of equal keys with compatible durations, the least gap first, then by ids. Keys whose parts are all blank pair nothing."""
+    """1:1 pairs of equal keys with compatible durations, the least gap first. Keys whose parts are all blank pair nothing."""
     named = reduce(lambda x, y: x | y, [F.col(k) != "" for k in keys])
-    a = t.where(named).select(*keys, "track_id", F.col("duration_ms").alias("a"))
-    b = lib.where(named).select(*keys, "file_id", F.col("duration_ms").alias("b"))
-    both = a.join(b, keys).where(T.duration_compatible("a", "b"))
-    gap = F.when((F.col("a") > 0) & (F.col("b") > 0), F.abs(F.col("a") - F.col("b"))).otherwise(0)
-    rows = both.select(F.concat_ws("|", *keys).alias("key"), "track_id", "file_id", gap.alias("gap"))
-    return rows.groupBy("key").applyInPandas(lambda pdf: _greedy(pdf, ["gap", "track_id", "file_id"]), "track_id long, file_id long")
-
-
-def _one_by_one(parts):
-    """Of candidates sorted by order, track and score: each track in turn takes the best entry still free, if no other is as good."""
-    taken, now, free = set(), None, []
-
-    def close():
-        best = [f for s, f in free if s == free[0][0]]
-        if len(best) == 1:
-            taken.add(best[0])
-            return [(now, best[0])]
-        return []
-
-    for pdf in parts:
-        out = []
-        for t, f, s in pdf[["track_id", "file_id", "s"]].itertuples(index=False):
-            if t != now:
-                out += close()
-                now, free = t, []
-            if f not in taken:
-                free.append((s, f))
-        yield pd.DataFrame(out, columns=["track_id", "file_id"], dtype="int64")
-    yield pd.DataFrame(close(), columns=["track_id", "file_id"], dtype="int64")
-
-
-def _undisputed(left: DataFrame) -> DataFrame:
-    """track_id, file_id (null: none) of the tracks whose turn ends alike whatever others do: no earlier track can take their only best
-    entry, or two of equally good ones."""
-    first = left.groupBy("file_id").agg(F.min(F.struct("order", "track_id")).alias("first"))
-    mine = left.join(first, "file_id").withColumn("mine", F.col("first.track_id") == F.col("track_id"))
-    alike = mine.groupBy("track_id", "s").agg(F.count("*").alias("n"), F.count_if("mine").alias("m"), F.min("file_id").alias("file_id"))
-    best = alike.groupBy("track_id").agg(F.min_by(F.struct("n", "m", "file_id"), "s").alias("b"))
-    return best.where("b.m > 1 OR (b.n = 1 AND b.m = 1)").select("track_id", F.when(F.col("b.n") == 1, F.col("b.file_id")).alias("file_id"))
-
-
-def _without(left: DataFrame, done: DataFrame) -> DataFrame:
-    """Candidates without the tracks of ``done`` and the entries that these took."""
-    return left.join(done.select("track_id"), "track_id", "left_anti").join(done.where("file_id IS NOT NULL").select("file_id"), "file_id", "left_anti")
-
-
-def pair_unique(rows: DataFrame, score: list[str], small: int = SMALL) -> DataFrame:
-    """1:1 pairs from candidates (track_id, file_id, score columns, order): tracks, one by one by (order, track_id), take their best entry that is
-    still free, if no other is as good; else none.
-
-    In rounds, every track settles that is the first of all that can take its best entry; the very first one always does. Once
-    a round settles less than a tenth of the candidates, the rest is cut into ranges of tracks of about ``small`` candidates, and range
-    after range is taken one by one. Nothing is left undecided.
-    """
-    w = Window.partitionBy("track_id").orderBy(*score)
-    left = cut(rows.select("track_id", "file_id", "order", F.dense_rank().over(w).alias("s")))
-    found, n, before = left.select("track_id", "file_id").limit(0), left.count(), None
-    while n > small and (before is None or 10 * n <= 9 * before):
-        done = cut(_undisputed(left))
-        found = found.union(done)
-        left, before = cut(_without(left, done)), n
-        n = left.count()
-    if n:
-        ranges = -(-n // small)
-        left = left.repartitionByRange(ranges, "order", "track_id").withColumn("range", F.spark_partition_id())
-        left = cut(left) if ranges > 1 else left
-        taken = None
-        for i in range(ranges):
-            part = left.where(F.col("range") == i) if ranges > 1 else left
-            if taken is not None:
-                part = part.join(taken, "file_id", "left_anti")
-            pairs = cut(part.coalesce(1).sortWithinPartitions("order", "track_id", "s", "file_id").mapInPandas(_one_by_one, "track_id long, file_id long"))
-            found = found.union(pairs)
-            taken = pairs.select("file_id") if taken is None else cut(taken.union(pairs.select("file_id")))
-    return found.where("file_id IS NOT NULL")
+    return pairing.by_duration(t.where(named), lib.where(named), keys, "track_id", "file_id")
+
+
+def pair_unique(rows: DataFrame, score: list[str], small: int = pairing.SMALL) -> DataFrame:
+    """1:1 pairs from candidates (track_id, file_id, score columns, order), taken one by one by order."""
+    return pairing.one_by_one(rows, score, small)
 
 
 def filename_candidates(t: DataFrame, lib: DataFrame) -> DataFrame:
@@ -221,22 +137,23 @@ def pair_filename(t: DataFrame, lib: DataFrame) -> DataFrame:
 
 def _bid(both: DataFrame, order: Column, mine: str = "t_track_id", other: str = "l_file_id") -> DataFrame:
     """Pairs of which the side ``mine`` chooses, in the given order."""
-    scored = both.select(F.col(mine).alias("track_id"), F.col(other).alias("file_id"), F.struct(*penalties()).alias("score"), order.alias("order"))
+    # artist, title, album and gap alone: neither path nor key counts here
+    scored = both.select(F.col(mine).alias("track_id"), F.col(other).alias("file_id"), F.struct(*penalties()[2:]).alias("score"), order.alias("order"))
     pairs = pair_unique(scored, ["score"])
     return pairs if mine == "t_track_id" else pairs.select(F.col("file_id").alias("track_id"), F.col("track_id").alias("file_id"))
 
 
 def fuzzy_candidates(t: DataFrame, lib: DataFrame) -> DataFrame:
-    """Pairs of one artist in some spelling and fuzzily equal titles, durations compatible.
+    """Pairs whose tracks have the entry's artist in one of its spellings (or one of both names was cut short) and a fuzzily equal title, durations
+    compatible.
 
-    Spellings are exploded on both sides and joined by equality; artists that a tag cut short join on their first 25 characters.
+    Both sides spell out the keys of all tests, so artists and titles are compared by one equi-join.
     """
     a, b = sides(t, lib)
-    a, b = a.withColumn("name", F.explode(T.artist_variants("t_artist"))), b.withColumn("name", F.explode(T.artist_variants("l_artist")))
-    same = a.join(b, "name").where(T.fuzzy_title("t_title", "l_title")).drop("name")
-    start = lambda d, c: d.where(F.length(c) >= 25).drop("name").distinct().withColumn("start", F.substring(c, 1, 25))
-    short = start(a, "t_artist").join(start(b, "l_artist"), "start").where(T.truncated_match(F.col("t_artist"), F.col("l_artist")) & T.fuzzy_title("t_title", "l_title")).drop("start")
-    return same.unionByName(short).where(T.duration_compatible("t_duration_ms", "l_duration_ms")).dropDuplicates(["t_track_id", "l_file_id"])
+    a = a.withColumn("key", F.explode(T.fuzzy_keys("t_artist", "t_title", entry=False)))
+    b = b.withColumn("key", F.explode(T.fuzzy_keys("l_artist", "l_title", entry=True)))
+    same = a.join(b, "key").where(T.duration_compatible("t_duration_ms", "l_duration_ms"))
+    return same.drop("key").dropDuplicates(["t_track_id", "l_file_id"])
 
 
 def pair_fuzzy(t: DataFrame, lib: DataFrame) -> DataFrame:
@@ -264,13 +181,25 @@ def sync_report(t: DataFrame, lib: DataFrame, artist_title: bool = True) -> tupl
 
 
 def represented(t: DataFrame, lib: DataFrame) -> DataFrame:
-    """file_id of the entries that any track stands for: not 1:1, any of six tests; an equal metadata key needs no compatible duration."""
-    exact = lib.join(t.select("metadata_key"), "metadata_key", "left_semi").select("file_id")
-    names = filename_candidates(t, lib).where(T.duration_compatible("t_duration_ms", "l_duration_ms"))
-    found = cut(exact.union(candidates(t, lib).select("l_file_id")).union(names.select("l_file_id")).distinct())
-    # only what no exact test finds is compared fuzzily
-    fuzzy = fuzzy_candidates(t, lib.join(found, "file_id", "left_anti")).select(F.col("l_file_id").alias("file_id"))
-    return found.union(fuzzy).distinct()
+    """file_id of the entries that any track stands for: not 1:1, any of six tests; an equal metadata key needs no compatible duration.
+
+    Existence alone is asked, so no pairs are made: tests are keys, and durations are compared in bands. What no exact test finds is
+    compared fuzzily. The test by artist and title holds wherever that by artist, album and title does.
+    """
+    key = lambda tag, *parts: F.concat(F.lit(tag), F.concat_ws("\x00", *parts))
+    exact = lambda path: F.concat(
+        F.when(F.trim(F.coalesce(path, F.lit(""))) != "", F.array(key("p", path))).otherwise(F.array().cast("array<string>")),
+        F.array(key("t", "artist", "title")),
+        F.transform("filename_keys", lambda k: F.concat(F.lit("f"), k)),
+    )
+    keyed = lambda d, keys, *more: d.select(*more, F.explode(keys).alias("key"), F.col("duration_ms").alias("d"))
+    whole = lambda d, *more: d.select(*more, F.concat(F.lit("m"), "metadata_key").alias("key"), F.lit(0).alias("d"))
+    known = keyed(t, exact(F.col("file_path"))).unionByName(whole(t))
+    asked = keyed(lib, exact(F.col("path")), "file_id").unionByName(whole(lib, "file_id"))
+    found = cut(pairing.compatible_keys(known, asked, "file_id").distinct())
+    rest = lib.join(found, "file_id", "left_anti")
+    fuzzy = pairing.compatible_keys(keyed(t, T.fuzzy_keys("artist", "title", entry=False)), keyed(rest, T.fuzzy_keys("artist", "title", entry=True), "file_id"), "file_id")
+    return found.union(fuzzy.distinct())
 
 
 def unindexed(t: DataFrame, lib: DataFrame) -> DataFrame:
@@ -297,12 +226,18 @@ def below(path: Column, roots: list[str]) -> Column:
 
 def failures(missing: DataFrame, t: DataFrame) -> DataFrame:
     """file_id, reason, closest key of entries without a track: NO_SIMILAR_KEY if no spelling of the artist has any; DURATION_ONLY if one of its
-    keys has the title; else TITLE_MISMATCH."""
-    e = missing.select("file_id", "title", F.explode(T.artist_variants("artist")).alias("artist"))
-    keys = t.select(F.split_part("metadata_key", F.lit("|"), F.lit(1)).alias("artist"), F.col("metadata_key").alias("key"))
-    both = e.join(keys, "artist")
-    hit = F.contains("key", F.concat(F.lit("|"), "title", F.lit("|")))
-    best = both.groupBy("file_id").agg(F.max(hit).alias("hit"), F.min_by("key", F.struct(~hit, "key")).alias("closest_key"))
+    keys has the title; else TITLE_MISMATCH. The closest key is the least one of the artist's own that has the title, else the least of them.
+
+    Tracks' keys are aggregated by artist, and by artist and each of album and title, before entries meet them.
+    """
+    field = lambda i: F.split_part("key", F.lit("|"), F.lit(i))
+    k = t.select(F.col("metadata_key").alias("key")).distinct().select("key", F.explode(T.artist_keys(field(1), entry=False)).alias("name"), F.array_distinct(F.array(field(2), field(3))).alias("parts"))
+    of_artist = k.groupBy("name").agg(F.min("key").alias("any_key"))
+    of_title = k.select("name", "key", F.explode("parts").alias("title")).groupBy("name", "title").agg(F.min("key").alias("title_key"))
+    e = missing.select("file_id", "title", F.concat(F.lit("a"), "artist").alias("own"), F.explode(F.array_distinct(T.artist_keys("artist", entry=True))).alias("name"))
+    both = e.join(of_artist, "name").join(of_title, ["name", "title"], "left")
+    closest = F.max(F.when(F.col("name") == F.col("own"), F.coalesce("title_key", "any_key")))
+    best = both.groupBy("file_id").agg(F.max(F.col("title_key").isNotNull()).alias("hit"), closest.alias("closest_key"))
     reason = F.when(F.col("hit").isNull(), REASONS[0]).when(F.col("hit"), REASONS[1]).otherwise(REASONS[2])
     return missing.select("file_id").join(best, "file_id", "left").select("file_id", reason.alias("reason"), "closest_key")
 
