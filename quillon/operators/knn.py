@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -13,7 +14,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
-from quillon.operators.search import sized
 
 #: Vectors of a block: two blocks of 768 doubles each are 25 MB.
 BLOCK = 2048
@@ -29,11 +29,14 @@ def own_folder() -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage, by a reliable checkpoint in ``spark.checkpoint.dir``; only where that is unset (one machine) in a
+    """``df`` without its lineage, by a reliable checkpoint in ``spark.checkpoint.dir``; only where that is unset, on one machine, in a
     folder of its own."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or own_folder())
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or own_folder())
     return df.checkpoint()
 
 
@@ -132,51 +135,71 @@ def stale(edges: DataFrame, vectors: DataFrame, id_col: str = "vec_id") -> str:
     return "keep" if ids.join(src, id_col, "left_anti").isEmpty() else "incremental"
 
 
-def bfs_hops(edges: DataFrame, seed: int, depth: int | None = None) -> DataFrame:
-    """node, hops of all nodes that the seed reaches over edges (src, dst), the seed at 0; with ``depth`` only those so near. One frontier a round; its
-    lineage is cut."""
-    e = edges.select("src", "dst")
-    seen = cut(edges.sparkSession.createDataFrame([(seed, 0)], "node long, hops int"))
-    front = seen
+def _one(edges: DataFrame, seed: int) -> DataFrame:
+    return edges.sparkSession.createDataFrame([(0, seed)], "query_id int, node long")
+
+
+#: Fronts of a search after which those seen so far are put together.
+FRONTS = 16
+
+
+def hops_many(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """query_id, node, hops of all nodes that each seed (query_id, node) reaches over edges (src, dst), the seed at 0; with ``depth`` only those so near.
+
+    All seeds go together: a round is one join of all fronts with the edges, keyed by query. What is found is kept as it is, front by front.
+    """
+    e = cut(edges.select("src", "dst").distinct())
+    front = cut(seeds.select("query_id", F.col("node").cast("long").alias("node")).distinct().withColumn("hops", F.lit(0)))
+    fronts = [front]
     for step in count(1) if depth is None else range(1, depth + 1):
-        front = e.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        front = cut(front.join(seen, "node", "left_anti").withColumn("hops", F.lit(step)))
+        seen = reduce(DataFrame.union, fronts)
+        if len(fronts) > FRONTS:
+            seen = cut(seen)
+            fronts = [seen]
+        front = e.join(front.select("query_id", F.col("node").alias("src")), "src").select("query_id", F.col("dst").alias("node")).distinct()
+        front = cut(front.join(seen, ["query_id", "node"], "left_anti").withColumn("hops", F.lit(step)))
         if front.isEmpty():
             break
-        seen = cut(seen.union(front))
-    return seen
+        fronts.append(front)
+    return reduce(DataFrame.union, fronts)
 
 
-def walk_exact(edges: DataFrame, seed: int, alpha: float, steps: int = 100, least: float = 1e-12) -> DataFrame:
-    """node, mass: where random walks from the seed end.
+def bfs_hops(edges: DataFrame, seed: int, depth: int | None = None) -> DataFrame:
+    """node, hops of all nodes that one seed reaches, as ``hops_many``."""
+    return hops_many(edges, _one(edges, seed), depth).select("node", "hops")
+
+
+def walks_many(edges: DataFrame, seeds: DataFrame, alpha: float, steps: int = 100, least: float = 1e-12) -> DataFrame:
+    """query_id, node, mass: where random walks from each seed (query_id, node) end.
 
     A walk goes to a neighbour of positive weight, all alike, but not straight back; after each step it stops with probability
-    ``alpha``, at a dead end, and after ``steps`` steps. The state is an edge; each round is a join and a sum, and rounds end once less than ``least``
-    is on its way. Ends at the seed itself are left out.
+    ``alpha``, at a dead end, and after ``steps`` steps. The state is a query and an edge, and what may follow an edge is worked out once, so a
+    round is one join and one sum for all seeds. Rounds end once less than ``least`` is on its way. Ends at the seed itself are left out.
     """
-    e = cut(edges.where("weight > 0").select("src", "dst").distinct())
-    out = e.groupBy("src").agg(F.count("*").alias("degree"))
-    back = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).withColumn("back", F.lit(1))
-    start = e.where(F.col("src") == seed)
-    n = start.count()
-    spark = edges.sparkSession
-    if not n:
-        return spark.createDataFrame([], "node long, mass double")
-    state = start.select(F.col("src").alias("prev"), F.col("dst").alias("cur"), F.lit(1.0 / n).alias("p"))
-    done = spark.createDataFrame([], "node long, mass double")
+    e = edges.where("weight > 0").select("src", "dst").distinct()
+    after = e.groupBy(F.col("src").alias("cur")).agg(F.array_sort(F.collect_list("dst")).alias("all"))
+    going = e.select(F.col("src").alias("prev"), F.col("dst").alias("cur")).join(after, "cur", "left")
+    going = cut(going.select("prev", "cur", F.coalesce(F.filter("all", lambda x: x != F.col("prev")), F.array().cast("array<bigint>")).alias("next")))
+    start = cut(seeds.select("query_id", F.col("node").cast("long").alias("prev")).distinct())
+    first = start.join(going, "prev").select("query_id", "prev", "cur")
+    state = first.withColumn("p", F.lit(1.0) / F.count("*").over(Window.partitionBy("query_id", "prev")))
+    ends = []
     for step in range(1, steps + 1):
-        # choices of the next step: neighbours of cur other than prev
-        s = state.join(out, F.col("cur") == F.col("src"), "left").drop("src")
-        s = s.join(back, (F.col("cur") == F.col("a")) & (F.col("prev") == F.col("b")), "left")
-        s = cut(s.select("prev", "cur", "p", (F.coalesce("degree", F.lit(0)) - F.coalesce("back", F.lit(0))).alias("m")))
-        last = F.lit(step == steps)
-        ends = F.when((F.col("m") == 0) | last, F.col("p")).otherwise(F.col("p") * alpha)
-        done = cut(done.union(s.select(F.col("cur").alias("node"), ends.alias("mass"))).groupBy("node").agg(F.sum("mass").alias("mass")))
-        live = s.where("m > 0").join(e, F.col("cur") == F.col("src")).where("dst <> prev")
-        state = live.select(F.col("cur").alias("prev"), F.col("dst").alias("cur"), (F.col("p") * (1 - alpha) / F.col("m")).alias("p")).groupBy("prev", "cur").agg(F.sum("p").alias("p"))
-        if step == steps or (1 - alpha) ** step < least:
+        s = cut(state.join(going, ["prev", "cur"]).select("query_id", "cur", "p", "next"))
+        last = step == steps or (1 - alpha) ** step < least
+        stop = F.when((F.size("next") == 0) | F.lit(step == steps), F.col("p")).otherwise(F.col("p") * alpha)
+        ends.append(s.select("query_id", F.col("cur").alias("node"), stop.alias("mass")))
+        if last or s.isEmpty():
             break
-    return done.where(F.col("node") != seed)
+        live = s.select("query_id", F.col("cur").alias("prev"), (F.col("p") * (1 - alpha) / F.size("next")).alias("p"), F.explode("next").alias("cur"))
+        state = live.groupBy("query_id", "prev", "cur").agg(F.sum("p").alias("p"))
+    mass = reduce(DataFrame.union, ends).groupBy("query_id", "node").agg(F.sum("mass").alias("mass"))
+    return mass.join(start.withColumnRenamed("prev", "node"), ["query_id", "node"], "left_anti")
+
+
+def walk_exact(edges: DataFrame, seed: int, alpha: float, steps: int = 100, least: float = 1e-12) -> DataFrame:
+    """node, mass: where random walks from one seed end, as ``walks_many``."""
+    return walks_many(edges, _one(edges, seed), alpha, steps, least).select("node", "mass")
 
 
 def walk_monte_carlo(edges: DataFrame, seed: int, alpha: float, walks: int = 10_000, steps: int = 100, salt: int = 7) -> DataFrame:
@@ -203,5 +226,5 @@ def walk_monte_carlo(edges: DataFrame, seed: int, alpha: float, walks: int = 10_
 
 
 def with_hops(ranking: DataFrame, hops: DataFrame) -> DataFrame:
-    """ranking (id, ...) with the graph distance of each id, null if there is none."""
-    return ranking.join(sized(hops.select(F.col("node").alias("id"), F.col("hops").alias("graph_hops")), 1_000_000), "id", "left")
+    """ranking (query_id, id, ...) with the graph distance of each id from the query's seed, null if there is none."""
+    return ranking.join(hops.select("query_id", F.col("node").alias("id"), F.col("hops").alias("graph_hops")), ["query_id", "id"], "left")

@@ -173,6 +173,7 @@ def sync_report(t: DataFrame, lib: DataFrame, artist_title: bool = True) -> tupl
         pair_fuzzy,
     ]
     found = []
+    t, lib = cut(t), cut(lib)
     for name, f in list(zip(PASSES, passes, strict=True))[: 6 if artist_title else 4]:
         pairs = cut(f(t, lib).withColumn("pass", F.lit(name)))
         found.append(pairs)
@@ -204,7 +205,8 @@ def represented(t: DataFrame, lib: DataFrame) -> DataFrame:
 
 def unindexed(t: DataFrame, lib: DataFrame) -> DataFrame:
     """Entries that no track stands for, one for each metadata key, the least id."""
-    left = lib.join(represented(t, lib), "file_id", "left_anti")
+    lib = cut(lib)
+    left = lib.join(represented(cut(t), lib), "file_id", "left_anti")
     w = Window.partitionBy("metadata_key").orderBy("file_id")
     return left.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
@@ -244,6 +246,7 @@ def failures(missing: DataFrame, t: DataFrame) -> DataFrame:
 
 def diagnostics(t: DataFrame, lib: DataFrame) -> dict[str, DataFrame]:
     """Counts by pass, counts by reason of all unindexed entries, and up to 200 of these as samples."""
+    t, lib = cut(t), cut(lib)
     pairs, _, _ = sync_report(t, lib)
     why = failures(unindexed(t, lib), t)
     return {

@@ -42,7 +42,7 @@ def numbered(rows: DataFrame, keys: list[str], id_col: str, cells: int = CELLS)
 
 def by_place(a: DataFrame, b: DataFrame, keys: list[str], a_id: str, b_id: str) -> DataFrame:
     """a_id, b_id: within each key the i-th row of ``a`` by id with the i-th of ``b``."""
-    x, y = (numbered(d.select(*keys, i), keys, i) for d, i in ((a, a_id), (b, b_id)))
+    x, y = (numbered(cut(d.select(*keys, i)), keys, i) for d, i in ((a, a_id), (b, b_id)))
     return x.join(y, [*keys, "i"]).select(a_id, b_id)
 
 
@@ -130,6 +130,11 @@ def _gap_flows(left: DataFrame, keys: list[str], tolerance: int) -> list[DataFra
     """
     flows = []
     while True:
+        # keys of one side alone are done
+        sides = left.groupBy(*keys).agg(F.min("side").alias("s"), F.max("side").alias("t")).where("s <> t")
+        left = cut(left.join(sides.select(*keys), keys, "left_semi"))
+        if left.isEmpty():
+            return flows
         segments, x = _boundaries(left, keys, tolerance)
         if segments.isEmpty():
             return flows
@@ -143,7 +148,7 @@ def _gap_flows(left: DataFrame, keys: list[str], tolerance: int) -> list[DataFra
         flows.append(found)
         gone = found.select(*keys, F.explode(F.array("da", "db")).alias("d"), "n").groupBy(*keys, "d").agg(F.sum("n").alias("gone"))
         left = left.join(found.select(*keys).distinct(), keys, "left_semi").join(gone, [*keys, "d"], "left").withColumn("n", F.col("n") - F.coalesce("gone", F.lit(0)))
-        left = cut(left.where("n > 0").select(*keys, "d", "side", "n"))
+        left = left.where("n > 0").select(*keys, "d", "side", "n")
 
 
 def _placed(flows: DataFrame, keys: list[str]) -> DataFrame:
@@ -169,13 +174,13 @@ def by_duration(a: DataFrame, b: DataFrame, keys: list[str], a_id: str, b_id: st
     before one unknown; then the pair with the shorter known duration; then by b's id and a's id. Null keys pair nothing.
     """
     d = F.greatest(F.coalesce(F.col(duration), F.lit(0)), F.lit(0)).cast("long").alias("d")
-    x, y = (r.select(*keys, i, d) for r, i in ((a, a_id), (b, b_id)))
+    x, y = (cut(r.select(*keys, i, d)) for r, i in ((a, a_id), (b, b_id)))
     na, nb = (r.groupBy(*keys, "d").agg(F.count("*").alias(n)) for r, n in ((x, "na"), (y, "nb")))
     both = x.select(*keys).distinct().join(y.select(*keys).distinct(), keys)
     groups = na.join(nb, [*keys, "d"], "full").select(*keys, "d", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("na", "nb")])
     groups = cut(groups.join(both, keys, "left_semi"))
     level, left = _level_flows(groups, keys)
-    flows = cut(_placed(reduce(DataFrame.unionByName, _gap_flows(cut(left), keys, tolerance), level), keys))
+    flows = cut(_placed(reduce(DataFrame.unionByName, _gap_flows(left, keys, tolerance), level), keys))
     return _rows_of(x, flows, keys, "da", "oa", a_id).join(_rows_of(y, flows, keys, "db", "ob", b_id), [*keys, "da", "db", "k"]).select(a_id, b_id)
 
 
@@ -225,6 +230,11 @@ def _one_by_one(parts):
     yield pd.DataFrame(close(), columns=["track_id", "file_id"], dtype="int64")
 
 
+def _in_turn(rooted: DataFrame) -> DataFrame:
+    in_order = rooted.repartition("root").sortWithinPartitions("root", "order", "track_id", "s", "file_id")
+    return in_order.mapInPandas(_one_by_one, "track_id long, file_id long")
+
+
 def _undisputed(left: DataFrame) -> DataFrame:
     """track_id, file_id (null: none) of the tracks whose turn ends alike whatever others do: no earlier track can take their only best
     entry, or two of equally good ones."""
@@ -264,6 +274,8 @@ def one_by_one(rows: DataFrame, score: list[str], small: int = SMALL) -> DataFra
                 break
         if not n:
             break
+        if n <= small:
+            return found.union(cut(_in_turn(left.withColumn("root", F.lit(0))))).where("file_id IS NOT NULL")
         # tracks and entries as nodes of one graph
         edges = left.select((2 * F.col("track_id")).alias("a"), (2 * F.col("file_id") + 1).alias("b"))
         rooted = left.join(components(edges), 2 * F.col("track_id") == F.col("node")).drop("node")
@@ -271,8 +283,7 @@ def one_by_one(rows: DataFrame, score: list[str], small: int = SMALL) -> DataFra
         giant = rooted.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > small)
         rooted = cut(rooted.join(giant.select("root", F.lit(True).alias("giant")), "root", "left"))
         now = rooted if stuck else rooted.where("giant IS NULL")
-        in_turn = now.repartition("root").sortWithinPartitions("root", "order", "track_id", "s", "file_id")
-        found = found.union(cut(in_turn.mapInPandas(_one_by_one, "track_id long, file_id long")))
+        found = found.union(cut(_in_turn(now)))
         left = rooted.where("giant").drop("root", "giant") if not stuck else rooted.limit(0)
         n = 0 if stuck else left.count()
     return found.where("file_id IS NOT NULL")

@@ -350,7 +350,7 @@ def radio_batch(spark, sf_dir):
 @query()
 def radio_random_walk(spark, sf_dir):
     v = X.vectors(spark, sf_dir)
-    s = v.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "vec_id")
+    s = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vec_id")
     return radio.playlist(v, X.vector_tracks(spark, sf_dir), s, radio.RadioConfig(mode="RANDOM_WALK", tracks=30), knn.weights(knn.build(v)))
 
 
@@ -406,25 +406,26 @@ def queue_metrics(spark, sf_dir):
 @query(
     """
     WITH k(kind) AS (VALUES ('NONE'), ('LINEAR'), ('EXPONENTIAL'), ('STEP')),
-    s AS (SELECT kind, i::BIGINT AS step, i / 9.0::DOUBLE AS p FROM k, range(10) t(i))
-    SELECT kind, step, round(CASE kind WHEN 'NONE' THEN 0.5 WHEN 'LINEAR' THEN 0.5 * (1 - p) WHEN 'STEP' THEN CASE WHEN p < 0.5 THEN 0.5 ELSE 0.1 END ELSE 0.5 * exp(-3 * p) END::DOUBLE, 9) AS alpha FROM s"""
+    s AS (SELECT event_id, kind, (event_id % 10)::BIGINT AS step, (event_id % 10) / 9.0::DOUBLE AS p FROM k, events)
+    SELECT event_id, kind, step, round(CASE kind WHEN 'NONE' THEN 0.5 WHEN 'LINEAR' THEN 0.5 * (1 - p) WHEN 'STEP' THEN CASE WHEN p < 0.5 THEN 0.5 ELSE 0.1 END ELSE 0.5 * exp(-3 * p) END::DOUBLE, 9) AS alpha FROM s"""
 )
 def decay_schedule(spark, sf_dir):
     kinds = F.array(*[F.lit(x) for x in ("NONE", "LINEAR", "EXPONENTIAL", "STEP")])
-    s = spark.range(10).select(F.explode(kinds).alias("kind"), F.col("id").alias("step"))
-    return s.select("kind", "step", F.round(sequences.decay("kind", 0.5, F.col("step"), F.lit(10)), 9).alias("alpha"))
+    s = table(spark, sf_dir, "events").select("event_id", F.explode(kinds).alias("kind"), (F.col("event_id") % 10).cast("long").alias("step"))
+    return s.select("event_id", "kind", "step", F.round(sequences.decay("kind", 0.5, F.col("step"), F.lit(10)), 9).alias("alpha"))
 
 
 @query(
     """
-    WITH i AS (SELECT i::BIGINT AS i FROM range(20) t(i)),
-    s AS (SELECT i AS position, -1 AS source, pow(0.7, i) AS weight FROM i
-          UNION ALL SELECT i, j::INT, 0.3 * pow(0.7, i - j - 1) FROM i, range(20) t(j) WHERE j < i)
-    SELECT position, source, round(weight, 9) AS weight FROM s WHERE weight > 0.01"""
+    WITH i AS (SELECT vec_id, (vec_id % 20)::BIGINT AS i FROM embeddings),
+    s AS (SELECT vec_id, i AS position, -1 AS source, pow(0.7, i) AS weight FROM i
+          UNION ALL SELECT vec_id, i, j::INT, 0.3 * pow(0.7, i - j - 1) FROM i, range(20) t(j) WHERE j < i)
+    SELECT vec_id, position, source, round(weight, 9) AS weight FROM s WHERE weight > 0.01"""
 )
 def ema_provenance(spark, sf_dir):
-    p = spark.range(20).select(F.col("id").alias("position"), F.explode(sequences.ema_provenance(F.col("id"), 0.7)).alias("s"))
-    return p.select("position", F.col("s.source").alias("source"), F.round("s.weight", 9).alias("weight"))
+    at = (F.col("vec_id") % 20).cast("long")
+    p = X.vectors(spark, sf_dir).select("vec_id", at.alias("position"), F.explode(sequences.ema_provenance(at, 0.7)).alias("s"))
+    return p.select("vec_id", "position", F.col("s.source").alias("source"), F.round("s.weight", 9).alias("weight"))
 
 
 @query("SELECT vec_id, (s // 120000 + CASE WHEN s % 120000 >= 24000 THEN 1 ELSE 0 END)::BIGINT AS windows FROM (SELECT vec_id, vec_id * 7919 AS s FROM embeddings)")
@@ -599,7 +600,7 @@ def db_only(spark, sf_dir):
 
 @query()
 def failure_categories(spark, sf_dir):
-    t = X.tracks(spark, sf_dir).where("track_id % 4 <> 0")
+    t = knn.cut(X.tracks(spark, sf_dir).where("track_id % 4 <> 0"))
     return link.failures(link.unindexed(t, X.library(spark, sf_dir)), t)
 
 
