@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import registry, sequences
@@ -12,7 +15,7 @@ from quillon.operators import cluster, fusion, knn, link, search, select, store
 from quillon.plans import fixtures as X
 from quillon.plans import radio
 from quillon.session import table
-from quillon.sources import files
+from quillon.sources import files, snapshots
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -851,3 +854,44 @@ def radio_preview(spark, sf_dir):
     v = X.vectors(spark, sf_dir)
     s = v.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "vec_id")
     return radio.preview(v, X.vector_tracks(spark, sf_dir), s, edges=knn.weights(knn.build(v)))
+
+
+# ---- tables that change together, results worked out once --------------------------------------------------------
+
+
+def _scratch(spark, name: str) -> str:
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or knn.own_folder()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    """
+    SELECT 1 AS version, 'tracks' AS name, count(*) AS n, false AS stale FROM part UNION ALL SELECT 1, 'vectors', count(*), false FROM embeddings
+    UNION ALL SELECT 1, 'clusters', count(DISTINCT label), false FROM embeddings
+    UNION ALL SELECT 2, 'tracks', count(*), false FROM part WHERE p_partkey % 4 <> 0 UNION ALL SELECT 2, 'vectors', count(*), false FROM embeddings WHERE vec_id % 4 <> 0
+    UNION ALL SELECT 2, 'clusters', count(DISTINCT label), true FROM embeddings
+    UNION ALL SELECT 3, 'tracks', count(*), false FROM part WHERE p_partkey % 4 <> 0 UNION ALL SELECT 3, 'vectors', count(*), false FROM embeddings WHERE vec_id % 4 <> 0"""
+)
+def store_snapshots(spark, sf_dir):
+    """An import of three tables, a deletion from two of them, and an index taken away: each one commit."""
+    s = snapshots.Store(spark, _scratch(spark, "store"))
+    tracks, v = X.raw_tracks(spark, sf_dir), X.vectors(spark, sf_dir)
+    s.commit({"tracks": tracks, "vectors": v, "clusters": cluster.centroids(v, "label")}, {"clusters": ["vectors"]})
+    now = s.snapshot()
+    s.commit({"tracks": now["tracks"].where("track_id % 4 <> 0"), "vectors": now["vectors"].where("vec_id % 4 <> 0")})
+    s.commit({"clusters": None})
+    counts = [
+        t.agg(F.count("*").alias("n")).select(F.lit(k).alias("version"), F.lit(n).alias("name"), "n", F.lit(n in s.stale(k)).alias("stale"))
+        for k in s.versions() for n, t in s.snapshot(k).items()
+    ]
+    return reduce(DataFrame.union, counts)
+
+
+@query("WITH " + X.BOTH + " SELECT file_id, metadata_key FROM l WHERE metadata_key NOT IN (SELECT metadata_key FROM t WHERE track_id % 4 <> 0)")
+def cached_detection(spark, sf_dir):
+    """Entries without a track of their key, worked out once for one state of both catalogs: the second call reads the first one's table."""
+    t, lib = knn.cut(X.tracks(spark, sf_dir).where("track_id % 4 <> 0")), knn.cut(X.library(spark, sf_dir))
+    key = (*snapshots.fingerprint(t, ["track_id", "metadata_key"]), *snapshots.fingerprint(lib, ["file_id", "metadata_key"]))
+    folder = _scratch(spark, "detections")
+    found = lambda: lib.join(t, "metadata_key", "left_anti").select("file_id", "metadata_key")
+    snapshots.cached(spark, folder, key, found)
+    return snapshots.cached(spark, folder, key, found)
