@@ -719,7 +719,16 @@ def ranking_overlap(spark, sf_dir):
 
 @query("SELECT vec_id AS query_line, 'q' || vec_id AS text, CASE WHEN vec_id % 5 = 4 THEN 1 ELSE 2 END AS results FROM embeddings WHERE vec_id < 50")
 def replay_log_pairing(spark, sf_dir):
-    e = X.vectors(spark, sf_dir).where("vec_id < 50")
+    return _replayed(X.vectors(spark, sf_dir).where("vec_id < 50"))
+
+
+@query("SELECT vec_id AS query_line, 'q' || vec_id AS text, CASE WHEN vec_id % 5 = 4 THEN 1 ELSE 2 END AS results FROM embeddings")
+def replay_log_whole(spark, sf_dir):
+    return _replayed(X.vectors(spark, sf_dir))
+
+
+def _replayed(e):
+    """A log with a query and a result of every vector, every fifth result cut off, as read again."""
     i = F.col("vec_id")
     one = lambda r: F.concat(F.lit('{"rank":'), F.lit(str(r)), F.lit(',"track_id":'), i.cast("string"), F.lit(',"score":0.5}'))
     whole = F.concat(F.lit("["), one(1), F.lit(","), one(2), F.lit("]"))

@@ -167,16 +167,26 @@ QUERY_JSON = "text string, text_weight double, text_negative boolean, seeds arra
 RESULT_JSON = "array<struct<rank:int,track_id:bigint,artist:string,title:string,score:double,display_similarity:double>>"
 
 
+#: Ranges of lines into which a log is cut: as many rows has the table of their last queries.
+LOG_RANGES = 1024
+
+
 def replay_log(lines: DataFrame) -> DataFrame:
     """query_line, query, results of a log (line, value): each result line goes with the query line before it.
 
-    A truncated result is cut after its last whole entry; one that can't be read gives null.
+    A truncated result is cut after its last whole entry; one that can't be read gives null. The log is cut into ranges of lines, each of which is
+    looked through on its own; a table of each range's last query line says what stands before the others.
     """
     q = F.regexp_extract("value", r"MULTISEED_QUERY: (\{.*)", 1)
     r = F.regexp_extract("value", r"MULTISEED_RESULTS: (\[.*)", 1)
     found = lines.select("line", F.nullif(q, F.lit("")).alias("q"), F.nullif(r, F.lit("")).alias("r")).where("q IS NOT NULL OR r IS NOT NULL")
-    at = F.last(F.when(F.col("q").isNotNull(), F.col("line")), ignorenulls=True).over(Window.orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
-    found = found.withColumn("query_line", at)
+    ends = found.agg(F.min("line").alias("low"), F.max("line").alias("high"))
+    found = found.crossJoin(F.broadcast(ends)).withColumn("range", F.floor((F.col("line") - F.col("low")) / ((F.col("high") - F.col("low")) / LOG_RANGES + 1))).drop("low", "high")
+    asked = F.when(F.col("q").isNotNull(), F.col("line"))
+    last = found.groupBy("range").agg(F.max(asked).alias("last"))
+    last = last.select("range", F.max("last").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    here = F.max(asked).over(Window.partitionBy("range").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    found = found.withColumn("here", here).join(F.broadcast(last), "range").withColumn("query_line", F.coalesce("here", "before"))
     whole = F.when(F.col("r").rlike(r"\]\s*$"), F.col("r")).otherwise(F.concat(F.regexp_extract("r", r"^(.*\})", 1), F.lit("]")))
     results = found.where("r IS NOT NULL").select("query_line", F.from_json(whole, RESULT_JSON).alias("results"))
     queries = found.where("q IS NOT NULL").select(F.col("line").alias("query_line"), F.from_json("q", QUERY_JSON).alias("query"))

@@ -106,3 +106,31 @@ def test_fingerprints(spark):
     one = snapshots.fingerprint(d, ["x", "y"])
     assert one == snapshots.fingerprint(d.orderBy("x", ascending=False).repartition(3), ["x", "y"]) and one[1] == 4
     assert one != snapshots.fingerprint(d.distinct(), ["x", "y"]) and snapshots.fingerprint(d.limit(0), ["x"])[1] == 0
+
+
+def test_results_go_with_the_query_before_them(spark, monkeypatch):
+    """A log in ranges of lines, of which many hold no query, against one look from the first line to the last."""
+    import random
+
+    from quillon.sources import files
+
+    r = random.Random(2)
+    for ranges in (3, 40, 1024):
+        monkeypatch.setattr(files, "LOG_RANGES", ranges)
+        rows, want, now = [], [], None
+        for line in sorted(r.sample(range(5, 9000), 160)):
+            kind = r.choice("qrrrr-")
+            if kind == "q":
+                now = line
+                rows.append((line, f'MULTISEED_QUERY: {{"text":"t{line}"}}'))
+                want.append([line, 0])
+            elif kind == "r":
+                rows.append((line, 'MULTISEED_RESULTS: [{"rank":1}]'))
+                if now is not None:
+                    want[-1][1] += 1
+            else:
+                rows.append((line, "something else"))
+        got = files.replay_log(spark.createDataFrame(rows, "line long, value string").repartition(3))
+        counts = got.groupBy("query_line").agg({"results": "count"}).collect()
+        assert sorted(map(list, counts)) == want
+    assert files.replay_log(spark.createDataFrame([], "line long, value string")).count() == 0
