@@ -841,7 +841,10 @@ def available_models(spark, sf_dir):
     v = X.vectors(spark, sf_dir)
     for name, rows in (("even", "vec_id % 2 = 0"), ("odd", "vec_id % 2 = 1"), ("none", "vec_id < 0")):
         v.where(rows).createOrReplaceTempView(f"embeddings_quillon_{name}")
-    return store.available_models(spark)
+    found = store.available_models(spark)
+    for name in ("even", "odd", "none"):
+        spark.catalog.dropTempView(f"embeddings_quillon_{name}")
+    return found
 
 
 @query(
