@@ -9,9 +9,10 @@ Neither the vocabulary nor the n-grams fit in one place, and tokens are too many
    and sends each shard of contexts one row of packed arrays: the pairs that stand in it, with their training counts.
 2. A shard adds up the blocks' counts and builds its trie: sorted context hashes, monotone pointers into the
    successors, successors as a monotone sequence (context number, successor hash), and one byte for each quantised smoothed
-   probability. All levels are flat Elias-Fano buffers that are read in place. It looks up every pair that the blocks
-   sent: the context by search in the first level, its successor by search within the range its pointers give. Answers go back by
-   block, one byte a pair in the order of the request, and each context's exact count.
+   probability. The levels, flat Elias-Fano buffers, are unpacked to arrays in the same task, which looks up every pair that the blocks
+   sent: the context by binary search in the first level, the pair by binary search among all successors, where only a place within
+   the range of the context's pointers counts. Answers go back by block, one byte a pair in the order of the request, and each context's
+   exact count.
 3. The block, read again, puts the answers to its tokens and adds up every document.
 
 What a task holds is a block of texts or a shard of pairs. The most frequent words' successors are split among shards by the
