@@ -282,6 +282,46 @@ def test_passages_in_long_texts_and_with_long_fuzzy_ends(spark):
     assert (60, 6) in got
 
 
+def test_recall_of_edited_passages(spark):
+    r = random.Random(7)
+    word = lambda: f"w{r.randrange(10**7)}"
+    rows, cell = [], {}
+    for n in (60, 100):
+        for kind in ("replaced", "moved"):
+            for rate in (0.03, 0.05, 0.08, 0.1):
+                for _ in range(40):
+                    p = [word() for _ in range(n)]
+                    q = []
+                    for w in p:
+                        if r.random() >= rate:
+                            q.append(w)
+                        elif kind == "replaced":
+                            q.append(word())
+                        elif r.random() < 0.5:
+                            q += [w, word()]
+                    if passages.agreeing(np.array([int(w[1:]) for w in p]), np.array([int(w[1:]) for w in q])) >= 0.8 * max(len(p), len(q)):
+                        cell[len(rows)] = (n, kind, rate)
+                        rows += [(len(rows) + i, " ".join([*[word() for _ in range(80)], *t, *[word() for _ in range(80)]])) for i, t in enumerate((p, q))]
+    got = [(g["doc_a"], g["doc_b"]) for g in passages.repeated(docs_of(spark, rows)).collect()]
+    assert all(abs(a - b) == 1 and min(a, b) in cell for a, b in got)
+    found, planted = Counter(cell[min(x)] for x in set(got)), Counter(cell.values())
+    assert all(found[c] >= 0.9 * planted[c] for c in planted)
+
+
+def test_ends_are_those_of_a_whole_table():
+    r = random.Random(3)
+    xs, ys = ([np.array([r.randrange(3) for _ in range(r.randrange(0, 9))], np.uint32) for _ in range(80)] for _ in "xy")
+    for x, y, (i, j, same, _, _) in zip(xs, ys, passages.ends(xs, ys, drop=100, band=9), strict=True):
+        score = {(0, 0): 0}
+        for a in range(len(x) + 1):
+            for b in range(len(y) + 1):
+                steps = [score[a - 1, b] - 2] if a else []
+                steps += [score[a, b - 1] - 2] if b else []
+                steps += [score[a - 1, b - 1] + (1 if x[a - 1] == y[b - 1] else -2)] if a and b else []
+                score[a, b] = max(steps, default=0)
+        assert score[i, j] == max(score.values()) and same <= min(i, j)
+
+
 def test_agreeing_is_the_longest_common_subsequence():
     r = random.Random(2)
     for _ in range(200):
