@@ -9,10 +9,10 @@ Neither the vocabulary nor the n-grams fit in one place, and tokens are too many
    and sends each shard of contexts one row of packed arrays: the pairs that stand in it, with their training counts.
 2. A shard adds up the blocks' counts and builds its trie: sorted context hashes, monotone pointers into the
    successors, successors as a monotone sequence (context number, successor hash), and one byte for each quantised smoothed
-   probability. The levels, flat Elias-Fano buffers, are unpacked to arrays in the same task, which looks up every pair that the blocks
-   sent: the context by binary search in the first level, the pair by binary search among all successors, where only a place within
-   the range of the context's pointers counts. Answers go back by block, one byte a pair in the order of the request, and each context's
-   exact count.
+   probability. The levels, Elias-Fano words, go to a nameless file that the task maps. Every distinct pair that the blocks sent is looked up
+   in place: the context among those with its high bits, then the successor among those with its high bits within the range of the context's
+   two pointers; only low parts that are compared are decoded. Answers go back by block, one byte a pair in the order of the request, and
+   each context's exact count.
 3. The block, read again, puts the answers to its tokens and adds up every document.
 
 What a task holds is a block of texts or a shard of pairs. The most frequent words' successors are split among shards by the
@@ -21,14 +21,19 @@ successor's hash; their counts go along with every request.
 
 from __future__ import annotations
 
+import mmap
+import os
+import tempfile
 from dataclasses import dataclass
+from typing import BinaryIO
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import hashes, labels, mix, shuffle_partitions, texts, written
+from quillon.llm.common import hashes, labels, mix, scratch_dir, shuffle_partitions, texts, written
 
 #: Hashes that stand for a text's begin (a context only) and end (a token only).
 BEGIN, END = np.uint64(0x8BADF00D5EED0001), np.uint64(0x4BADF00D5EED0002)
@@ -46,58 +51,137 @@ class LmParams:
     buckets: int = 64
 
 
+#: SELECT[byte, r]: place of the r-th one of a byte; lookups ask for ones that exist alone.
+SELECT = np.argsort(1 - np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little"), axis=1, kind="stable").astype(np.int64)
+
+
 class EliasFano:
-    """A monotone sequence: low bytes as they are, high parts in unary. Low parts are whole bytes, so reading is by plain slices."""
+    """A monotone sequence as 64-bit words that are read in place: low bits packed side by side, high parts in unary, and before
+    every word of these the ones and the zeros so far. Only what is asked for is decoded. Up to 2^32 bits of high parts."""
 
-    @staticmethod
-    def pack(values: np.ndarray) -> bytes:
-        v = values.astype(np.uint64)
-        n, top = len(v), int(v[-1]) if len(v) else 0
-        width = min(8, -(-max(0, (top // max(n, 1)).bit_length()) // 8))
-        low = v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-        high = (v >> np.uint64(8 * width)).astype(np.int64) if width < 8 else np.zeros(n, np.int64)
-        bits = np.zeros(n + (int(high[-1]) if n else 0) + 1, np.uint8)
-        bits[high + np.arange(n)] = 1
-        return np.array([n, width], "<u8").tobytes() + low + np.packbits(bits).tobytes()
+    def __init__(self, words: np.ndarray):
+        self.n, self.width, low, high = (int(x) for x in words[:4])
+        self.low, self.high = words[4 : 4 + low], words[4 + low : 4 + low + high]
+        self.ones, self.zeros = words[4 + low + high : 4 + low + 2 * high].view("<u4").reshape(2, high)
+        self.mask = np.uint64((1 << self.width) - 1)
 
     @staticmethod
-    def read(data: bytes) -> np.ndarray:
-        n, width = (int(x) for x in np.frombuffer(data, "<u8", 2))
-        v = np.zeros((n, 8), np.uint8)
-        v[:, :width] = np.frombuffer(data, np.uint8, n * width, 16).reshape(n, width)
-        high = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, -1, 16 + n * width)))[:n] - np.arange(n)
-        low = v.view("<u8").ravel().astype(np.uint64)
-        return low | (high.astype(np.uint64) << np.uint64(8 * width)) if width < 8 else low
+    def pack(values: np.ndarray) -> np.ndarray:
+        v = values.astype("<u8")
+        n, top = len(v), int(v[-1]) if len(v) else 0
+        width = max(0, (top // max(n, 1)).bit_length() - 1)
+        step = 1 << 18  # so many low parts end at a word
+        low = [np.packbits(np.unpackbits(v[i : i + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :width], bitorder="little") for i in range(0, n, step)]
+        low = np.concatenate([*low, np.zeros(8, np.uint8)])
+        low = np.append(low, np.zeros(-len(low) % 8, np.uint8)).view("<u8")
+        parts = (v >> np.uint64(width)).astype(np.int64)
+        bits = np.zeros(-(-(n + (top >> width) + 1) // 64) * 64, np.uint8)
+        bits[parts + np.arange(n)] = 1
+        high = np.packbits(bits, bitorder="little").view("<u8")
+        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)[:-1]])
+        ranks = np.concatenate([ones, 64 * np.arange(len(high)) - ones]).astype("<u4").view("<u8")
+        return np.concatenate([np.array([n, width, len(low), len(high)], "<u8"), low, high, ranks])
+
+    def select(self, rank: np.ndarray, bit: int) -> np.ndarray:
+        """Places of the rank-th ones, or zeros, among the bits of the high parts, counted from 0."""
+        before = self.ones if bit else self.zeros
+        word = np.searchsorted(before, rank.astype(np.uint32), "right") - 1
+        r = rank - before[word].astype(np.int64)
+        octets = (self.high[word] if bit else ~self.high[word]).astype("<u8").view(np.uint8).reshape(-1, 8)
+        upto = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.int64)
+        octet = (upto <= r[:, None]).sum(axis=1)
+        row = np.arange(len(r))
+        r = r - np.where(octet > 0, upto[row, octet - 1], 0)
+        return 64 * word + 8 * octet + SELECT[octets[row, octet], r]
+
+    def low_part(self, i: np.ndarray) -> np.ndarray:
+        word, shift = np.divmod(i * self.width, 64)
+        shift = shift.astype(np.uint64)
+        above = (self.low[word + (self.width > 0)] << (np.uint64(63) - shift)) << np.uint64(1)
+        return (self.low[word] >> shift | above) & self.mask
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The values at places i."""
+        return (self.select(i, 1) - i).astype(np.uint64) << np.uint64(self.width) | self.low_part(i)
+
+    def find(self, x: np.ndarray, first: np.ndarray | int = 0, last: np.ndarray | None = None) -> np.ndarray:
+        """A place of each x within [first, last), all places by default; -1 where there is none."""
+        if not self.n or not len(x):
+            return np.full(len(x), -1)
+        part = x >> np.uint64(self.width)
+        inside = part <= np.uint64(64 * len(self.high) - self.n - 1)
+        part = np.where(inside, part, 0).astype(np.int64)
+        # values with one high part stand between two zeros
+        a = np.where(part > 0, self.select(np.maximum(part - 1, 0), 0) - (part - 1), 0)
+        end = np.minimum(self.select(part, 0) - part, self.n if last is None else last)
+        a, b, y = np.maximum(a, first), end.copy(), x & self.mask
+        at = np.flatnonzero(inside & (a < b))
+        while len(at):
+            mid = (a[at] + b[at]) // 2
+            less = self.low_part(mid) < y[at]
+            a[at[less]], b[at[~less]] = mid[less] + 1, mid[~less]
+            at = at[a[at] < b[at]]
+        at = np.flatnonzero(inside & (a < end))
+        out = np.full(len(x), -1)
+        hit = at[self.low_part(a[at]) == y[at]]
+        out[hit] = a[hit]
+        return out
 
 
 class Trie:
-    """Two levels: contexts (sorted hashes) with pointers, and successors with quantised probabilities."""
+    """Two levels in one mapped file: contexts (sorted hashes) with pointers, and successors with quantised probabilities."""
+
+    def __init__(self, data: mmap.mmap):
+        words = np.frombuffer(data, "<u8", len(data) // 8)
+        cuts = np.cumsum([3, *words[:3].astype(np.int64)])
+        self.contexts, self.pointers, self.successors = (EliasFano(words[i:j]) for i, j in zip(cuts, cuts[1:], strict=False))
+        self.codes = np.frombuffer(data, np.uint8, self.successors.n, 8 * int(cuts[3]))
 
-    def __init__(self, contexts: bytes, pointers: bytes, successors: bytes, codes: bytes):
-        self.contexts, self.pointers, self.successors = map(EliasFano.read, (contexts, pointers, successors))
-        self.codes = np.frombuffer(codes, np.uint8)
+    @classmethod
+    def open(cls, file: BinaryIO) -> Trie:
+        """The trie in a file that ``write`` made; it is mapped, not read."""
+        return cls(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
 
     @staticmethod
-    def build(context: np.ndarray, successor: np.ndarray, code: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
-        """The levels from (context, successor, code), sorted and distinct by the first two."""
+    def write(file: BinaryIO, context: np.ndarray, successor: np.ndarray, code: np.ndarray) -> None:
+        """The levels of (context, successor, code), sorted and distinct by the first two."""
         unique, start = np.unique(context, return_index=True)
         number = np.repeat(np.arange(len(unique), dtype=np.uint64), np.diff([*start, len(context)]))
-        return EliasFano.pack(unique), EliasFano.pack(np.array([*start, len(context)])), EliasFano.pack((number << np.uint64(32)) | successor.astype(np.uint64)), code.astype(np.uint8).tobytes()
-
-    def lookup(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """Codes of (context, successor) pairs, 0 where the trie has none."""
+        levels = (unique, np.array([*start, len(context)]), (number << np.uint64(32)) | successor.astype(np.uint64))
+        packed = [EliasFano.pack(x) for x in levels]
+        file.write(np.array([len(x) for x in packed], "<u8").tobytes())
+        for x in packed:
+            file.write(x.data)
+        codes = code.astype(np.uint8).tobytes()
+        file.write(codes + bytes(-len(codes) % 8))
+        file.flush()
+
+    def lookup(self, context: np.ndarray, successor: np.ndarray, step: int = 1 << 17) -> np.ndarray:
+        """Codes of (context, successor) pairs, 0 where the trie has none. Pairs of one context should stand together."""
         out = np.zeros(len(context), np.uint8)
-        if not len(self.contexts):
-            return out
-        c = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
-        first, last = self.pointers[c].astype(np.int64), self.pointers[c + 1].astype(np.int64)
-        key = (c.astype(np.uint64) << np.uint64(32)) | successor.astype(np.uint64)
-        at = np.clip(np.searchsorted(self.successors, key), first, last - 1)
-        hit = (self.contexts[c] == context) & (self.successors[at] == key)
-        out[hit] = self.codes[at[hit]]
+        for i in range(0, len(context), step):
+            part = context[i : i + step]
+            run = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            c = self.contexts.find(part[run])
+            known = c >= 0
+            first, last = np.zeros((2, len(run)), np.int64)
+            first[known], last[known] = self.pointers.get(c[known]), self.pointers.get(c[known] + 1)
+            c, first, last = (np.repeat(x, np.diff([*run, len(part)])) for x in (c, first, last))
+            key = (np.maximum(c, 0).astype(np.uint64) << np.uint64(32)) | successor[i : i + step].astype(np.uint64)
+            at = self.successors.find(key, first, last)
+            hit = np.flatnonzero(at >= 0)
+            out[i + hit] = self.codes[at[hit]]
         return out
 
 
+def level_file(folder: str) -> BinaryIO:
+    """A nameless file for a task's trie: in the scratch folder if that is mounted here, else in memory. It goes with the task."""
+    url = urlparse(folder)
+    if url.scheme in ("", "file") and os.path.isdir(url.path):
+        return tempfile.TemporaryFile(dir=url.path)
+    return os.fdopen(os.memfd_create("trie"), "w+b")
+
+
 class Block:
     """Distinct words and (context, successor) pairs of some texts, and the shard and place of each pair.
 
@@ -204,7 +288,7 @@ def score(docs: DataFrame, train: Column, params: LmParams = LmParams()) -> Data
     shards = shuffle_partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), train.alias("train"))
     hot, n_train, types = survey(rows, shards, params)
-    names = labels(spark, shards)
+    names, folder = labels(spark, shards), scratch_dir(spark)
     place = F.array(*map(F.lit, names))
     t = rows.withColumn("block", F.get(place, F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))).repartition(shards, "block")
 
@@ -246,8 +330,10 @@ def score(docs: DataFrame, train: Column, params: LmParams = LmParams()) -> Data
         owner = (keys[seen] >> np.uint64(32)).astype(np.int64)
         p = count[seen] / (total[owner] + params.mu)
         code = np.clip(1 + np.ceil(-np.log10(p) * params.steps - 1e-9), 1, 255)
-        trie = Trie(*Trie.build(unique[owner], (keys[seen] & np.uint64(0xFFFFFFFF)).astype(np.uint32), code))
-        codes = trie.lookup(np.repeat(runs, per_run), s)
+        with level_file(folder) as file:
+            Trie.write(file, unique[owner], (keys[seen] & np.uint64(0xFFFFFFFF)).astype(np.uint32), code)
+            trie = Trie.open(file)
+        codes = trie.lookup(unique[(keys >> np.uint64(32)).astype(np.int64)], (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32))[at]
         totals = total[number]
         ends, run_ends = np.cumsum([len(x) for x in successors]), np.cumsum([len(x) for x in contexts])
         known = int((whole & (total > 0) & (unique != BEGIN)).sum())
