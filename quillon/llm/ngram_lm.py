@@ -1,7 +1,7 @@
 """LM scoring with Elias-Fano n-gram tries, one for each shard of the contexts.
 
 The model is a bigram model with Dirichlet smoothing, p(w | h) = (c(h w) + mu p(w)) / (c(h) + mu), with an
-add-one p(w) whose number of distinct words is a sketch's estimate. The first part, c(h w) / (c(h) + mu), is what the trie quantises.
+add-one p(w). The first part, c(h w) / (c(h) + mu), is what the trie quantises.
 
 Neither the vocabulary nor the n-grams fit in one place, and tokens are too many to be sent around one by one. So:
 
@@ -13,7 +13,8 @@ Neither the vocabulary nor the n-grams fit in one place, and tokens are too many
    in place: the context among those with its high bits, then the successor among those with its high bits within the range of the context's
    two pointers; only low parts that are compared are decoded. Answers go back by block, one byte a pair in the order of the request, and
    each context's exact count.
-3. The block, read again, puts the answers to its tokens and adds up every document.
+3. The answers, as a table, tell how many distinct words there are.
+4. The block, read again, puts the answers to its tokens and adds up every document.
 
 What a task holds is a block of texts or a shard of pairs. The most frequent words' successors are split among shards by the
 successor's hash; their counts go along with every request.
@@ -46,7 +47,6 @@ class LmParams:
 
     mu: float = 4.0
     steps: int = 20
-    sketch: int = 4096
     hot: int = 64
     buckets: int = 64
 
@@ -223,34 +223,31 @@ class Block:
             yield int(k), at, np.flatnonzero(np.diff(self.context[at], prepend=-1))
 
 
-def survey(docs: DataFrame, shards: int, params: LmParams) -> tuple[np.ndarray, int, float]:
-    """Sorted hashes of the words to split, the number of training tokens, and about how many distinct words they have.
+def survey(docs: DataFrame, shards: int, params: LmParams) -> tuple[np.ndarray, int]:
+    """Sorted hashes of the words to split, and the number of training tokens.
 
     docs: text, train. A task passes on the words that make up 1 / (4 * shards) of its own tokens or more: a word with such a share of
-    all has it in some task. Distinct words are estimated from the ``sketch`` least hashes, exactly if there are fewer.
+    all has it in some task.
     """
-    schema = pa.schema([("kind", pa.string()), ("h", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
     least = 1 / (4 * shards)
-    sign = np.uint64(1 << 63)
 
-    def rows(kind, h, n):
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], schema=schema)
+    def rows(h, n):
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(n, pa.int64())], schema=schema)
 
     def run(parts):
-        train, held, size, low = 0, [], 0, np.zeros(0, np.uint64)
+        train, held, size = 0, [], 0
 
         def flush():
             h, n = np.unique(np.concatenate(held), return_counts=True)
             top = n >= max(2, least * size)
-            return rows("word", h[top], n[top])
+            return rows(h[top].view(np.int64), n[top])
 
         for part in parts:
             for t, good in zip(texts(part.column(0)), part.column(1).to_pylist(), strict=True):
                 h = hashes(t.lower().split())
                 if good:
                     train += len(h) + 1
-                    new = h[h < low[-1]] if len(low) == params.sketch else h
-                    low = np.union1d(low, new)[: params.sketch] if len(new) else low
                 held += [h, np.array([BEGIN])]
                 size += len(h) + 1
                 if size >= 4_000_000:
@@ -258,19 +255,14 @@ def survey(docs: DataFrame, shards: int, params: LmParams) -> tuple[np.ndarray,
                     held, size = [], 0
         if held:
             yield flush()
-        yield rows("low", low ^ sign, np.ones(len(low)))
-        yield rows("train", np.zeros(1, np.int64), np.array([train]))
+        yield rows([None], [train])
 
-    found = docs.select("text", "train").mapInArrow(run, "kind string, h long, n long")
-    counted = written(found.groupBy("kind", "h").agg(F.sum("n").alias("n")), "lm-survey")
-    top = counted.where("kind = 'word'").orderBy(F.desc("n"), "h").limit(params.hot)
-    smallest = counted.where("kind = 'low'").orderBy("h").limit(params.sketch)
-    got = counted.where("kind = 'train'").union(top).union(smallest).collect()
-    total = sum(r["n"] for r in got if r["kind"] == "train")
-    hot = np.array([r["h"] for r in got if r["kind"] == "word" and r["n"] >= least * total], np.int64)
-    low = np.sort(np.array([r["h"] for r in got if r["kind"] == "low"], np.int64).view(np.uint64) ^ sign)
-    distinct = float(len(low)) if len(low) < params.sketch else (len(low) - 1) / (float(low[-1]) / 2.0**64)
-    return np.sort(hot.view(np.uint64)), total, distinct
+    found = docs.select("text", "train").mapInArrow(run, "h long, n long")
+    counted = written(found.groupBy("h").agg(F.sum("n").alias("n")), "lm-survey")
+    got = counted.where("h IS NULL").union(counted.where("h IS NOT NULL").orderBy(F.desc("n"), "h").limit(params.hot)).collect()
+    total = sum(r["n"] for r in got if r["h"] is None)
+    hot = np.array([r["h"] for r in got if r["h"] is not None and r["n"] >= least * total], np.int64)
+    return np.sort(hot.view(np.uint64)), total
 
 
 def remainder(mod: int) -> Column:
@@ -287,7 +279,7 @@ def score(docs: DataFrame, train: Column, params: LmParams = LmParams()) -> Data
     spark = docs.sparkSession
     shards = shuffle_partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), train.alias("train"))
-    hot, n_train, types = survey(rows, shards, params)
+    hot, n_train = survey(rows, shards, params)
     names, folder = labels(spark, shards), scratch_dir(spark)
     place = F.array(*map(F.lit, names))
     t = rows.withColumn("block", F.get(place, F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))).repartition(shards, "block")
@@ -345,7 +337,7 @@ def score(docs: DataFrame, train: Column, params: LmParams = LmParams()) -> Data
         ]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), answer, strict=True)], schema=answer)
 
-    result = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("known", pa.int64())])
+    result = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     index = {name: i for i, name in enumerate(names)}
     decoded = np.concatenate([[0.0], 10.0 ** (-np.arange(255) / params.steps)])
 
@@ -358,23 +350,20 @@ def score(docs: DataFrame, train: Column, params: LmParams = LmParams()) -> Data
             counts[b.context[at[first]]] = np.frombuffer(found[k][1], np.int64)
         counts[np.searchsorted(b.words, END)] = counts[-1]
         word = counts[:-1].astype(np.float64)
-        unigram = (word + 1) / (n_train + types + 1)
+        unigram = (word + 1) / (n_train + v + 1)
         h = counts[b.context]
         p = decoded[codes] + params.mu / (h + params.mu) * unigram[b.successor]
         logs = np.log10(np.minimum(p, 1.0))[b.pair]
-        plain = np.log10(word + 1)[b.now]
+        plain = np.log10(unigram)[b.now]
         known = (word > 0)[b.now].astype(np.int64)
         out = [np.add.reduceat(x, b.starts) for x in (known, plain, logs)]
-        v = np.zeros(len(b.starts), np.int64)
-        v[0] = sum(answers["known"].to_pylist())
-        return pa.Table.from_arrays([table["doc_id"].combine_chunks(), table["train"].combine_chunks(), pa.array(b.lengths), *map(pa.array, out), pa.array(v)], schema=result)
+        return pa.Table.from_arrays([table["doc_id"].combine_chunks(), table["train"].combine_chunks(), pa.array(b.lengths), *map(pa.array, out)], schema=result)
 
     # a context is a word at every place but the last, so its total is its count as a word; that of the begin is the end's
     asked = t.groupBy("block").applyInArrow(ask, "shard int, block int, contexts binary, sizes binary, successors binary, counts binary, hot binary")
     replies = asked.repartition(shards, "shard").groupBy("shard").applyInArrow(reply, "block int, shard int, codes binary, totals binary, known long")
-    back = replies.repartition(shards, "block")
-    done = t.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(finish, "doc_id long, train boolean, n_tokens long, n_known long, base double, score double, known long")
-    done = written(done, "lm-scores")
-    v = (done.agg(F.sum("known")).head()[0] or 0) + (1 if n_train else 0)
-    base = F.col("base") - F.col("n_tokens") * float(np.log10(n_train + (v + 1)))
-    return done.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    replies = written(replies, "lm-replies")
+    v = (replies.agg(F.sum("known")).head()[0] or 0) + (1 if n_train else 0)
+    back = replies.drop("known").repartition(shards, "block")
+    done = t.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(finish, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    return done.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")

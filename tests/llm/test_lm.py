@@ -46,7 +46,7 @@ def test_equals_brute_force(spark, hot):
     for g, w in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
         assert g[:5] == w[:5]
         assert g[5] == pytest.approx(w[5], rel=1e-9)
-        # a code rounds down by a step at most
+        # a code rounds down by a step at most; all else is exact
         assert -w[2] / params.steps - 1e-6 <= g[6] - w[6] <= 1e-6
 
 
