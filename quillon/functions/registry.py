@@ -20,11 +20,30 @@ EXPRESSIONS = {
     "filename_key": ("s STRING", "STRING", r"trim(regexp_replace(regexp_replace(regexp_replace(lower(s), '\\s*[(\\[].*?[)\\]]', ''), '^\\d+[.\\-\\s]+', ''), '\\s+', ' '))"),
 }
 
+_STRIP = r"regexp_replace({0}, '^\\s+|\\s+$', '')"
+
+#: name -> (arguments, columns, query); table functions for use with LATERAL, in the JVM as well.
+TABLES = {
+    "artist_variants": (
+        "artist STRING",
+        "variant STRING",
+        f"""SELECT explode(array_distinct(concat(
+                n,
+                transform(n, x -> CASE WHEN contains(x, '&') THEN regexp_replace(x, '\\\\s*&\\\\s*', ' and ') ELSE replace(x, ' and ', ' & ') END),
+                transform(n, x -> replace(x, '.', '')),
+                CASE WHEN s = '' THEN array('unknown artist') WHEN s = 'unknown artist' THEN array('') ELSE CAST(array() AS ARRAY<STRING>) END)))
+            FROM (SELECT s, filter(transform(concat(array(s), split(s, ';'), split(s, ' / '), slice(split(s, ','), 1, 1)), x -> {_STRIP.format("x")}), x -> x <> '' OR s = '') AS n
+                  FROM (SELECT {_STRIP.format("artist")} AS s))""",
+    ),
+}
+
 
 def register(spark: SparkSession) -> None:
-    """Make dot, cosine, l2_normalize, filename_key, nfc, vec_mean and artist_parts known to the session's SQL."""
+    """Make dot, cosine, l2_normalize, filename_key, nfc, vec_mean, artist_parts and artist_variants known to the session's SQL."""
     for name, (args, kind, body) in EXPRESSIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {kind} RETURN {body}")
+    for name, (args, columns, body) in TABLES.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS TABLE({columns}) RETURN {body}")
     spark.udf.register("nfc", F.pandas_udf(composed, "string"))
 
     def mean(v: pd.Series) -> list:

@@ -99,6 +99,20 @@ def cascade(t: DataFrame, lib: DataFrame, per: str = "track_id") -> DataFrame:
     return best.select(F.col("t_track_id").alias("track_id"), F.col("l_file_id").alias("file_id"), name.alias("match_type"))
 
 
+def fallback(asked: DataFrame, rows: DataFrame, levels: list[list[tuple[Column, Column]]], asked_id: str, row_id: str) -> DataFrame:
+    """asked_id, row_id, level (from 1): the least row of the first level at which a row agrees; what agrees with none is left out.
+
+    A level is a list of (expression over asked, expression over rows) that must be equal; null equals nothing. Rows that agree in all of a
+    level become one before they meet what is asked, so keys that many have cost no pairs, and one join serves all levels.
+    """
+    keys = lambda side: F.array(*[F.struct(F.lit(i).alias("level"), F.array(*[e[side].cast("string") for e in level]).alias("parts")) for i, level in enumerate(levels, 1)])
+    keyed = lambda d, side, i: d.select(i, F.explode(keys(side)).alias("key")).where(F.forall("key.parts", lambda x: x.isNotNull()))
+    least = keyed(rows, 1, row_id).groupBy("key").agg(F.min(row_id).alias(row_id))
+    both = keyed(asked, 0, asked_id).join(least, "key")
+    first = both.groupBy(asked_id).agg(F.min(F.struct(F.col("key.level").alias("level"), row_id)).alias("first"))
+    return first.select(asked_id, f"first.{row_id}", "first.level")
+
+
 def match_counts(t: DataFrame, matches: DataFrame) -> DataFrame:
     """match_type, n over all tracks, those without a match as NOT_FOUND, most first."""
     both = t.select("track_id").join(matches.select("track_id", "match_type"), "track_id", "left")

@@ -16,6 +16,7 @@ from quillon.plans import fixtures as X
 from quillon.plans import radio
 from quillon.session import table
 from quillon.sources import files, snapshots
+from quillon.streaming.indexing import Indexing
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -907,3 +908,70 @@ def cached_detection(spark, sf_dir):
     found = lambda: lib.join(t, "metadata_key", "left_anti").select("file_id", "metadata_key")
     snapshots.cached(spark, folder, key, found)
     return snapshots.cached(spark, folder, key, found)
+
+
+@query(
+    """
+    SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 1 WHEN vec_id % 3 = 1 THEN 2 ELSE 3 END::BIGINT AS entry, vec_id % 3 = 1 AS staged_before,
+           list_max(embedding[1:len(embedding) // 4])::DOUBLE AS first_window, list_max(embedding[3 * (len(embedding) // 4) + 1:4 * (len(embedding) // 4)])::DOUBLE AS last_window
+    FROM embeddings"""
+)
+def resumed_indexing(spark, sf_dir):
+    """Maxima of windows, taken in three runs over more and more of the rows. The second finds features that a run before it, which then
+    stopped, had kept."""
+    v = X.vectors(spark, sf_dir)
+    quarter = F.floor(F.size("embedding") / 4).cast("int")
+    windows = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.array_max(F.slice("embedding", i * quarter + 1, quarter)).cast("double"))
+    origin = {"name": "run"}
+    extract = lambda d: d.select("vec_id", windows.alias("windows"), F.lit(origin["name"]).alias("origin"))
+    encode = lambda f: f.select("vec_id", "windows", "origin")
+    kind = "vec_id long, windows array<double>, origin string"
+    x = Indexing(spark, _scratch(spark, "indexing"), extract, encode, kind, kind, id_col="vec_id", usable=F.size("windows") == 4, per_task=10_000)
+    x.run(v.where("vec_id % 3 = 0"))
+    origin["name"] = "stopped"
+    x.stage(v.where("vec_id % 3 = 1"))
+    origin["name"] = "run"
+    x.run(v.where("vec_id % 3 < 2"))
+    x.run(v)
+    w = F.col("windows")
+    return x.vectors().select("vec_id", "entry", (F.col("origin") == "stopped").alias("staged_before"), w[0].alias("first_window"), w[3].alias("last_window"))
+
+
+# ---- lookups that fall back ------------------------------------------------------------------------------------
+
+
+@query(
+    "WITH "
+    + X.RAW_TRACKS
+    + ", "
+    + X.RAW_LIBRARY
+    + """,
+    asked AS (SELECT file_id, artist, CASE WHEN file_id % 4 <> 0 THEN album END AS album, title FROM raw_library),
+    found AS (
+      SELECT file_id, track_id, 1 AS level FROM asked a JOIN raw_tracks t ON t.artist = a.artist AND t.album = a.album AND t.title = a.title
+      UNION ALL SELECT file_id, track_id, 2 FROM asked a JOIN raw_tracks t ON t.artist = a.artist AND t.title = a.title
+      UNION ALL SELECT file_id, track_id, 3 FROM asked a JOIN raw_tracks t ON lower(t.artist) = lower(a.artist) AND lower(t.title) = lower(a.title))
+    SELECT file_id, track_id, level FROM found QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY level, track_id) = 1"""
+)
+def fallback_lookup(spark, sf_dir):
+    """Entries of a second catalog, looked up by artist, album and title, then by artist and title, then by these in either case."""
+    asked = X.raw_library(spark, sf_dir).withColumn("album", F.when(F.col("file_id") % 4 != 0, F.col("album")))
+    same = lambda *names: [(F.col(n), F.col(n)) for n in names]
+    loose = [(F.lower(n), F.lower(n)) for n in ("artist", "title")]
+    return link.fallback(asked, X.raw_tracks(spark, sf_dir), [same("artist", "album", "title"), same("artist", "title"), loose], "file_id", "track_id")
+
+
+_VARIANT_SQL = """
+    WITH n AS (SELECT c_custkey, trim(c_name) AS s, list_concat([c_name], string_split(c_name, ';'), string_split(c_name, ' / '), [string_split(c_name, ',')[1]]) AS n
+               FROM (SELECT c_custkey, c_mktsegment || ' & ' || c_name || ', Jr.; ' || c_name AS c_name FROM customer)),
+    v AS (SELECT c_custkey, list_transform(n, lambda x: trim(x)) AS n FROM n),
+    u AS (SELECT c_custkey, unnest(list_concat(n, list_transform(n, lambda x: CASE WHEN contains(x, '&') THEN regexp_replace(x, '\\s*&\\s*', ' and ', 'g') ELSE replace(x, ' and ', ' & ') END), list_transform(n, lambda x: replace(x, '.', '')))) AS variant FROM v)
+    SELECT DISTINCT c_custkey, variant FROM u"""
+
+
+@query(_VARIANT_SQL)
+def artist_variants_of_sql(spark, sf_dir):
+    """The table function artist_variants, called for every row."""
+    registry.register(spark)
+    a = table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_mktsegment", F.lit(" & "), "c_name", F.lit(", Jr.; "), "c_name").alias("artist"))
+    return spark.sql("SELECT c_custkey, variant FROM {a}, LATERAL artist_variants(artist)", a=a)

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.operators import link, pairing
 
@@ -264,3 +265,18 @@ def test_catalogs_of_the_driver(spark, sf):
             first.setdefault(e["metadata_key"], b)
     assert run("unindexed_anti_join") == sorted((b, k) for k, b in first.items())
     assert len(run("failure_categories")) == len(first)
+
+
+def test_fallback_takes_the_first_level_that_any_row_meets(spark):
+    asked = spark.createDataFrame([(1, "A", "x"), (2, "a", None), (3, "B", "y"), (4, None, "x"), (5, "q", "q"), (1, "A", "x")], "i int, p string, q string")
+    rows = spark.createDataFrame([(12, "A", "x"), (11, "a", "x"), (10, "A", "z"), (13, "b", "q"), (14, None, "x"), (9, None, None)], "r int, p string, q string")
+    both, one, loose = [(F.col("p"), F.col("p")), (F.col("q"), F.col("q"))], [(F.col("p"), F.col("p"))], [(F.lower("p"), F.lower("p"))]
+    got = link.fallback(asked, rows, [both, one, loose], "i", "r").collect()
+    assert sorted(map(tuple, got)) == [(1, 12, 1), (2, 11, 2), (3, 13, 3)]
+    assert link.fallback(asked.limit(0), rows, [both], "i", "r").count() == 0 and link.fallback(asked, rows.limit(0), [both], "i", "r").count() == 0
+
+
+def test_fallback_makes_no_pairs_of_a_frequent_key(spark):
+    many = lambda name: spark.range(30_000).select(F.col("id").alias(name), F.lit("same").alias("p"))
+    got = link.fallback(many("i"), many("r"), [[(F.col("p"), F.col("p"))]], "i", "r")
+    assert got.count() == 30_000 and got.where("r <> 0").count() == 0

@@ -2,7 +2,7 @@ import itertools
 
 from pyspark.sql import functions as F
 
-from quillon.functions import registry, tokens
+from quillon.functions import registry, text, tokens
 from quillon.operators import store
 
 VOCABULARY = [("▁", 5, -3.0), ("▁a", 6, -1.0), ("a", 7, -2.0), ("b", 8, -2.0), ("ab", 9, -2.5), ("▁ab", 10, -4.5), ("c", 11, -9.0)]
@@ -42,6 +42,15 @@ def test_sql_functions(spark):
     assert [x["variant"] for x in spark.sql("SELECT * FROM artist_parts('a; b')").collect()] == ["a; b", "a", "b"]
 
 
+def test_table_function_of_artists_equals_the_column(spark):
+    registry.register(spark)
+    names = ["a; b", " A & B / C ", "x, y", "J.J. and K", "", "  ", "unknown artist", "R&B", ";;", None, "it's 'so'"]
+    d = spark.createDataFrame([(i, a) for i, a in enumerate(names)], "id int, a string")
+    of_sql = spark.sql("SELECT id, variant FROM {d}, LATERAL artist_variants(a)", d=d).collect()
+    of_column = d.select("id", F.explode(text.artist_variants("a")).alias("variant")).collect()
+    assert sorted(map(tuple, of_sql)) == sorted(map(tuple, of_column)) and len(of_sql) > 20
+
+
 def test_settings(spark):
     s = spark.createDataFrame([("k", "7"), ("bad", "x"), ("neg", "-3")], "key string, value string")
     assert [store.positive_setting(None, s, k, 5) for k in ("k", "bad", "neg", "none")] == [7, 5, 5, 5] and store.positive_setting(9, s, "k", 5) == 9
