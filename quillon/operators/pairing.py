@@ -310,4 +310,4 @@ def compatible_keys(known: DataFrame, asked: DataFrame, id_col: str, tolerance:
     probes = asked.select(id_col, "key", d.alias("d"), F.explode(look).alias("at"))
     good = F.col("always") | (F.col("low") <= F.col("d") + tolerance) | (F.col("high") >= F.col("d") - tolerance)
     same = (F.col("key") == F.col("k")) & (F.col("at") == F.col("h"))
-    return probes.join(there.withColumnRenamed("key", "k").withColumnRenamed("at", "h"), same & F.coalesce(good, F.lit(False)), "left_semi").select(id_col)
+    return probes.hint("merge").join(there.withColumnRenamed("key", "k").withColumnRenamed("at", "h"), same & F.coalesce(good, F.lit(False)), "left_semi").select(id_col)

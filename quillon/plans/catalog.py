@@ -509,8 +509,7 @@ _FUZZY = "(a = b OR " + _NUMBER.format("a") + " = b OR a = " + _NUMBER.format("b
 
 @query("WITH " + X.BOTH + ", p AS (SELECT track_id, file_id, t.title AS a, l.title AS b FROM t JOIN l USING (artist)) SELECT track_id, file_id FROM p WHERE " + _FUZZY)
 def fuzzy_title_pairs(spark, sf_dir):
-    t, lib = X.tracks(spark, sf_dir).select("track_id", "artist", F.col("title").alias("a")), X.library(spark, sf_dir).select("file_id", "artist", F.col("title").alias("b"))
-    return t.join(lib, "artist").where(T.fuzzy_title("a", "b")).select("track_id", "file_id")
+    return link.fuzzy_titles(X.tracks(spark, sf_dir), X.library(spark, sf_dir))
 
 
 @query("WITH " + X.BOTH + " SELECT track_id, file_id FROM t JOIN l ON t.artist = l.artist AND t.title = l.title AND " + _COMPATIBLE.format("t.duration_ms", "l.duration_ms"))

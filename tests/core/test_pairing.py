@@ -4,8 +4,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillon.functions import text as T
 from quillon.operators import link, pairing
 
 DURATIONS = [0, -1, None, 1000, 1000, 1001, 2500, 6000, 6001, 7000, 11_000, 11_001, 16_002, 90_000]
@@ -280,3 +282,30 @@ def test_fallback_makes_no_pairs_of_a_frequent_key(spark):
     many = lambda name: spark.range(30_000).select(F.col("id").alias(name), F.lit("same").alias("p"))
     got = link.fallback(many("i"), many("r"), [[(F.col("p"), F.col("p"))]], "i", "r")
     assert got.count() == 30_000 and got.where("r <> 0").count() == 0
+
+
+def test_fuzzy_titles_meet_by_keys_not_by_artist(spark):
+    titles = ["song", "01 - song", "2. song", "song.mp3", "rock & roll", "rock and roll!", "a very long title of a song that goes on", "a very long title of a song", "", "x"]
+    t = spark.createDataFrame([(i, "ab"[i % 2], s) for i, s in enumerate(titles * 2)], "track_id long, artist string, title string")
+    e = spark.createDataFrame([(100 + i, "ab"[i % 3 % 2], s) for i, s in enumerate(titles[::-1] * 3)], "file_id long, artist string, title string")
+    got = link.fuzzy_titles(t, e)
+    both = t.withColumnRenamed("title", "a").join(e.withColumnRenamed("title", "b"), "artist").where(T.fuzzy_title("a", "b"))
+    assert sorted(got.collect()) == sorted(both.select("track_id", "file_id").collect()) and got.count() > 50
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cascade_is_that_of_all_pairs(spark):
+    r = random.Random(5)
+    pick = lambda *x: r.choice(x)
+    row = lambda i: (i, f"k{r.randrange(400)}", pick("", f"f{r.randrange(40)}"), [], pick("", "ann", "ann b", "bob", "bo", f"c{i}"), pick("x", "y"), pick("", "t", "u", "v", f"w{r.randrange(60)}"), r.choice(DURATIONS + [3000, 5000, 9000]), pick(f"/p{r.randrange(300)}", None))
+    cols = "metadata_key string, {0}, filename_keys array<string>, artist string, album string, title string, duration_ms int"
+    t = spark.createDataFrame([row(i) for i in range(400)], f"track_id long, {cols.format('filename_key string')}, file_path string")
+    e = [row(1000 + i) for i in range(300)]
+    e = spark.createDataFrame([(i, k, [f for f in (f, f"f{r.randrange(40)}") if f], *rest) for i, k, f, _, *rest in e], "file_id long, metadata_key string, filename_keys array<string>, artist string, album string, title string, duration_ms int, path string")
+    for per, mine, other in (("track_id", "t_track_id", "l_file_id"), ("file_id", "l_file_id", "t_track_id")):
+        w = Window.partitionBy(mine).orderBy("level", *link.penalties(), other)
+        want = link.candidates(t, e).withColumn("n", F.row_number().over(w)).where("n = 1")
+        want = sorted((a, b, link.LEVELS[i]) for a, b, i in want.select("t_track_id", "l_file_id", "level").collect())
+        found = link.cascade(t, e, per)
+        assert sorted(map(tuple, found.collect())) == want and len({x[2] for x in want}) == 6
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
