@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators import link, pairing
+from quillon.plans import fixtures as X
 
 DURATIONS = [0, -1, None, 1000, 1000, 1001, 2500, 6000, 6001, 7000, 11_000, 11_001, 16_002, 90_000]
 
@@ -309,3 +310,10 @@ def test_cascade_is_that_of_all_pairs(spark):
         found = link.cascade(t, e, per)
         assert sorted(map(tuple, found.collect())) == want and len({x[2] for x in want}) == 6
         assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_unindexed_and_failures_send_no_catalog_through_the_driver(spark, sf):
+    t, e = X.tracks(spark, sf).where("track_id % 4 <> 0"), X.library(spark, sf)
+    missing = link.unindexed(t, e)
+    for d in (missing, link.failures(missing, t)):
+        assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
