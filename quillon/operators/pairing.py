@@ -1,12 +1,16 @@
-"""1:1 pairing of two sides: by place within a key, by least gap of durations, and one by one from scored candidates.
+"""1:1 pairing of two sides: by place within a key, by least gap of durations, by choice in turn, and one by one from scored candidates.
 
-No key, however many rows it has, is gathered anywhere, and no list of a key's pairs is made unless candidates are given. Places within a key
-are counted in cells of ids; gaps are settled between groups of rows of one duration, which are counts, and rows come in last.
+No list of a key's pairs is made unless candidates are given. Places within a key are counted in cells of ids; gaps are settled between groups of
+rows of one duration, which are counts, and rows come in last. Choices in turn go by components of rows that share keys: their time and memory
+are those of a sort.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
 from functools import reduce
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -289,6 +293,186 @@ def one_by_one(rows: DataFrame, score: list[str], small: int = SMALL) -> DataFra
     return found.where("file_id IS NOT NULL")
 
 
+class _Cell:
+    """Rows of one key and of equal attributes: known durations in order, unknown ones, and those that are null."""
+
+    def __init__(self):
+        self.d, self.known, self.blank, self.null = [], [], [], []
+
+    def add(self, i: int, d: int | None):
+        if d is None:
+            self.null.append(i)
+        elif d <= 0:
+            self.blank.append(i)
+        else:
+            self.d.append(d)
+            self.known.append(i)
+
+    def nearest(self, d: int | None, free: bytearray, tolerance: int) -> tuple[int, list[int]] | None:
+        """The least gap of a compatible free row, and two (or the only one) of the rows that have it. Rows that are not free go for good."""
+        out = []
+        if d is None or d <= 0:
+            # an unknown duration goes with any known or unknown one, a null one with unknown ones alone
+            for rows, more in ((self.blank, None), (self.known, self.d), (self.null, None)) if d is not None else ((self.blank, None),):
+                self._last(rows, more, free, out)
+            return (0, out) if out else None
+        self._last(self.blank, None, free, out)
+        ds, known = self.d, self.known
+        at = bisect_left(ds, d)
+        self._free(at, free)
+        below = at - 1
+        while below >= 0 and not free[known[below]]:
+            del ds[below], known[below]
+            below -= 1
+        at = below + 1
+        up = ds[at] - d if at < len(ds) else tolerance + 1
+        down = d - ds[below] if below >= 0 else tolerance + 1
+        gap = 0 if out else min(up, down)
+        if gap > tolerance:
+            return None
+        if up == gap:
+            out.append(known[at])
+            self._free(at + 1, free)
+            if at + 1 < len(ds) and ds[at + 1] == ds[at]:
+                out.append(known[at + 1])
+        if down == gap and len(out) < 2:
+            out.append(known[below])
+            while below > 0 and not free[known[below - 1]]:
+                del ds[below - 1], known[below - 1]
+                below -= 1
+            if below > 0 and ds[below - 1] == ds[below]:
+                out.append(known[below - 1])
+        return gap, out[:2]
+
+    def _free(self, at: int, free: bytearray):
+        while at < len(self.known) and not free[self.known[at]]:
+            del self.d[at], self.known[at]
+
+    @staticmethod
+    def _last(rows: list, more: list | None, free: bytearray, out: list):
+        at = len(rows) - 1
+        while at >= 0 and len(out) < 2:
+            if free[rows[at]]:
+                out.append(rows[at])
+            else:
+                del rows[at]
+                if more is not None:
+                    del more[at]
+            at -= 1
+
+
+class _Component:
+    """Rows of both sides that share keys, directly or by others; ``settled`` lets one side choose in turn.
+
+    A row's best choices are looked up by key and by what of artist, title and album is equal, most important first; there by the nearest duration.
+    """
+
+    def __init__(self):
+        self.codes, self.keys, self.rows = {}, ({}, {}), ([], [])
+
+    def code(self, x):
+        # null equals nothing
+        return self.codes.setdefault(x, len(self.codes)) if isinstance(x, str) else -1
+
+    def add(self, side, i, head, keys, artist, title, album, d, order):
+        if keys is not None:
+            self.keys[side][head] = list(dict.fromkeys(map(self.code, keys)))
+        self.rows[side].append((i, head, self.code(artist), self.code(title), self.code(album), d, order))
+
+    def settled(self, tolerance: int) -> list[tuple[int, int]]:
+        others, mine = self.rows
+        # keys that the same rows have are one
+        having = {}
+        for head, keys in self.keys[0].items():
+            for k in keys:
+                having.setdefault(k, []).append(head)
+        one = {}
+        same = {k: one.setdefault(tuple(heads), k) for k, heads in having.items()}
+        having = {k: set(having[k]) for k in one.values()}
+        keys = [{h: sorted({same[k] for k in ks if k in same}) for h, ks in self.keys[side].items()} for side in (0, 1)]
+        if mine and mine[0][6] is None:
+            mine = self._by_number(keys, mine)
+        free, cells, of_head = bytearray(b"\1") * len(others), {}, {}
+        for i, row in enumerate(others):
+            of_head.setdefault(row[1], []).append(i)
+        out = []
+        for i, head, artist, title, album, d, _ in sorted(mine, key=lambda r: (r[6], r[0])):
+            for unlike in range(8):
+                alike = (None if unlike & 4 else artist, None if unlike & 2 else title, None if unlike & 1 else album)
+                if -1 in alike:
+                    continue
+                best, hits = tolerance + 1, set()
+                for k in keys[1].get(head, ()):
+                    if (k, unlike) not in cells:
+                        cells[k, unlike] = self._cells(unlike, [j for h in having[k] for j in of_head.get(h, ()) if free[j]])
+                    cell = cells[k, unlike].get(alike)
+                    near = cell and cell.nearest(d, free, tolerance)
+                    if near and near[0] <= best:
+                        hits = hits.union(near[1]) if near[0] == best else set(near[1])
+                        best = near[0]
+                if hits:
+                    if len(hits) == 1:
+                        j = hits.pop()
+                        free[j] = 0
+                        out.append((i, others[j][0]))
+                    break
+        return out
+
+    def _cells(self, unlike: int, places: list[int]) -> dict:
+        out = {}
+        for j in sorted(places, key=lambda j: (self.rows[0][j][5] or 0, j)):
+            _, _, artist, title, album, d, _ = self.rows[0][j]
+            alike = (None if unlike & 4 else artist, None if unlike & 2 else title, None if unlike & 1 else album)
+            out.setdefault(alike, _Cell()).add(j, d)
+        return out
+
+    def _by_number(self, keys: list[dict], mine: list) -> list:
+        """Rows with the number of others that share any key as their order: counted by sets of keys, as rows have few."""
+        n = Counter(row[1] for row in self.rows[0])
+        subsets = lambda ks: (s for r in range(1, len(ks) + 1) for s in combinations(ks, r))
+        having = Counter()
+        for head, ks in keys[0].items():
+            for s in subsets(ks):
+                having[s] += n[head]
+        total = {head: sum(having[s] * (-1) ** (len(s) + 1) for s in subsets(ks)) for head, ks in keys[1].items()}
+        return [(*row[:6], total[row[1]]) for row in mine]
+
+
+def _choices(parts):
+    """Rows sorted by component -> pairs of every component."""
+    now, component = None, _Component()
+    for pdf in parts:
+        out = []
+        for root, side, i, head, keys, artist, title, album, d, order in pdf.itertuples(index=False, name=None):
+            if root != now:
+                out += component.settled(TOLERANCE)
+                now, component = root, _Component()
+            component.add(side, i, head, keys, artist, title, album, None if pd.isna(d) else int(d), None if pd.isna(order) else int(order))
+        yield pd.DataFrame(out, columns=["mine", "other"], dtype="int64")
+    yield pd.DataFrame(component.settled(TOLERANCE), columns=["mine", "other"], dtype="int64")
+
+
+def by_choice(mine: DataFrame, other: DataFrame) -> DataFrame:
+    """mine, other: ids of 1:1 pairs; rows of ``mine``, one by one by (order, id), take their best row of ``other`` that shares a key, has a compatible
+    duration and is still free, if no other is as good; else none. Best is an equal artist, then title, then album, then the least gap.
+
+    Both: id, head, keys, artist, title, album, d; mine: order (null in all rows: the number of others that share a key, of any duration, for rows of few keys).
+    Rows of one keys may have them once, at the row whose id is their ``head``. Rows that share keys, directly or by others, form a component. A task
+    takes one after another and holds the rows of one; no pairs are made, so hot keys cost a sort of their rows.
+    """
+    cols = ["side", "id", "head", "keys", "artist", "title", "album", "d", "order"]
+    other = other.withColumn("order", F.lit(None).cast("int"))
+    rows = cut(other.withColumn("side", F.lit(0)).select(cols).unionByName(mine.withColumn("side", F.lit(1)).select(cols)))
+    keyed = rows.where("keys IS NOT NULL").select((2 * F.col("id") + F.col("side")).alias("node"), "side", F.explode("keys").alias("key"))
+    least = keyed.groupBy("key").agg(F.min("node").alias("rep"), F.min("side").alias("s"), F.max("side").alias("t")).where("s <> t").select("key", "rep")
+    # a row's keys go together by the least of their rows
+    reps = cut(keyed.hint("merge").join(least, "key").groupBy("node").agg(F.min("rep").alias("m"), F.collect_set("rep").alias("reps")))
+    roots = components(reps.select(F.explode("reps").alias("a"), F.col("m").alias("b"))).withColumnRenamed("node", "m")
+    roots = reps.select("node", "m").hint("merge").join(roots, "m", "left").select("node", F.coalesce("root", "m").alias("root"))
+    rooted = rows.withColumn("node", 2 * F.col("head") + F.col("side")).hint("merge").join(roots, "node").select("root", *cols)
+    return rooted.repartition("root").sortWithinPartitions("root").mapInPandas(_choices, "mine long, other long")
+
+
 def compatible_keys(known: DataFrame, asked: DataFrame, id_col: str, tolerance: int = TOLERANCE) -> DataFrame:
     """id_col of the rows of ``asked`` (id_col, key, d) for which ``known`` (key, d) has a row of the same key with a compatible duration; 0 or less is
     unknown and goes with any. An id may come more than once.

@@ -317,3 +317,51 @@ def test_unindexed_and_failures_send_no_catalog_through_the_driver(spark, sf):
     missing = link.unindexed(t, e)
     for d in (missing, link.failures(missing, t)):
         assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+SIDE = "id long, head long, keys array<string>, artist string, title string, album string, d int"
+
+
+def in_choice(mine, other):
+    """Pairs of (id, head, keys, artist, title, album, d, order) and (id, head, keys, artist, title, album, d) rows by one choice after another."""
+    keys = [{r[1]: set(r[2]) for r in side if r[2] is not None} for side in (mine, other)]
+    shares = lambda m, o: bool(keys[0][m[1]] & keys[1][o[1]])
+
+    def near(a, b):
+        if a is None or b is None:
+            one = b if a is None else a
+            return one is not None and one <= 0
+        return goes(a, b)
+
+    known = lambda *ds: all((d or 0) > 0 for d in ds)
+    taken, out = set(), []
+    for m in sorted(mine, key=lambda m: (sum(shares(m, o) for o in other) if m[7] is None else m[7], m[0])):
+        rows = [o for o in other if o[0] not in taken and shares(m, o) and near(m[6], o[6])]
+        rated = [(tuple(m[c] is None or m[c] != o[c] for c in (3, 4, 5)) + (abs(m[6] - o[6]) if known(m[6], o[6]) else 0,), o[0]) for o in rows]
+        best = [i for s, i in rated if s == min(rated)[0]]
+        if len(best) == 1:
+            taken.add(best[0])
+            out.append((m[0], best[0]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_choices_are_those_of_the_fold(spark, seed):
+    r = random.Random(seed)
+    row = lambda i: (i, i, r.sample([f"k{k}" for k in range(4 + 20 * (seed % 2))], r.randrange(4)), r.choice(["a", "b", None]), r.choice("tuv"), r.choice("xy"), r.choice([*DURATIONS, *range(900, 12_000, 501)]))
+    mine, other = [(*row(i), None if seed < 2 else i % 5) for i in range(150)], [row(i) for i in range(100, 260)]
+    # rows of one keys: the first has them for all
+    mine, other = ([(*x[:1], x[0] - x[0] % 3, *x[2:]) if x[0] % 3 == 0 else (x[0], x[0] - x[0] % 3, None, *x[3:]) for x in side] if seed == 3 else side for side in (mine, [(x[0] + 2, x[0] + 2, *x[2:]) for x in other]))
+    got = pairing.by_choice(spark.createDataFrame(mine, SIDE + ", order int"), spark.createDataFrame(other, SIDE))
+    assert sorted(map(tuple, got.collect())) == in_choice(mine, other) and got.count() > 20
+    assert pairing.by_choice(spark.createDataFrame(mine, SIDE + ", order int"), spark.createDataFrame([], SIDE)).count() == 0
+
+
+def test_choices_by_a_frequent_key_make_no_pairs(spark):
+    """A title that 30,000 rows of either side have: 900 million pairs."""
+    n = 30_000
+    side = lambda i, path: spark.range(n).selectExpr(f"id AS {i}", "'a' AS artist", "'x' AS album", "'intro' AS title", "CAST(1000 + id AS int) AS duration_ms", f"CAST(NULL AS string) AS {path}")
+    keyed = lambda d: d.withColumn("filename_keys", F.array("title"))
+    t, e = keyed(side("track_id", "file_path")), keyed(side("file_id", "path"))
+    for f in (link.pair_filename, link.pair_fuzzy):
+        assert f(t, e).where("track_id = file_id").count() == n
