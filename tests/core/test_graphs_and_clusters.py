@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import cluster, knn
+from quillon.operators import cluster, knn, select
+from quillon.plans import radio
 
 
 def graph(spark, n=60, seed=0):
@@ -103,3 +104,26 @@ def test_nearest_center_by_blocks(spark, monkeypatch, size):
     got = cluster.nearest(d, e).orderBy("vec_id").toPandas()
     assert (got["cluster_id"] == (v @ c.T).argmax(axis=1)).all() and np.allclose(got["score"], (v @ c.T).max(axis=1))
     assert cluster.nearest(d, e.limit(0)).count() == 0 and dict(cluster.nearest(d, e).dtypes)["cluster_id"] == "int"
+
+
+def test_walk_lists_stay_in_tasks(spark, monkeypatch):
+    """Playlists by walks are the same whether tasks hold the graph or all seeds walk together, and no seed's ranking leaves a task."""
+    e, rows = graph(spark, 50, 4)
+    tracks = spark.createDataFrame([(i, f"A{i % 6}" if i % 7 else None, "t") for i in range(48)], "id long, artist string, title string")
+    seeds = [("a", 0), ("b", 7), ("c", 999), ("d", 31)]
+    begin = spark.createDataFrame(seeds, "query_id string, node long")
+    config = radio.RadioConfig(tracks=9, restart=0.4, per_artist=3, spacing=2)
+    monkeypatch.setattr(select, "WALK_BYTES", 8000)
+    found = select.walk_lists(e, tracks, begin, 0.4, 9, 3, 2)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    got, want = (sorted(map(tuple, d.collect())) for d in (found, radio.walked_together(tracks, begin, config, e)))
+    assert [x[:2] + x[3:] for x in got] == [x[:2] + x[3:] for x in want] and len(got) > 20
+    assert np.allclose([x[2] for x in got], [x[2] for x in want], rtol=1e-12, atol=0)
+    for q, s in seeds[:2]:
+        mass = walk(rows, s, 0.4, 100)
+        best = sorted((n for n in mass if n < 48), key=lambda n: -mass[n])[0]
+        assert best == min((x for x in got if x[0] == q), key=lambda x: x[3])[1]
+    assert select.walk_lists(e, tracks, begin, 0.4, 9, 3, 2, whole=100) is None
+    assert select.walk_lists(e, tracks.union(tracks), begin, 0.4, 9, 3, 2) is None
+    assert select.walk_lists(e.limit(0), tracks, begin, 0.4, 9, 3, 2).count() == 0
+    assert select.walk_lists(e, tracks.limit(0), begin, 0.4, 9, 3, 2).count() == 0
