@@ -422,3 +422,21 @@ def test_pipeline(spark, sf):
             assert at.columns == docs.columns
     assert [n for n, _ in kept] == ["quality_rules", "near_duplicates", "secret_scans", "source_mixture", "byte_level_bpe"]
     assert docs.count() > kept[0][1] >= kept[1][1] == kept[2][1] and kept[3][1] == kept[4][1] > 0
+
+
+def test_seeds_and_windows_by_halves():
+    """Hashes and minima from halves are those of one word after another."""
+    r = np.random.default_rng(2)
+    for n in (1, 5, 6, 7, 17, 50, 51, 200):
+        words = r.integers(0, 30, n).astype(np.uint64) * passages.P
+        for k in (1, 2, 6, 12, 50):
+            if k <= n:
+                want = np.zeros(n - k + 1, np.uint64)
+                for i in range(k):
+                    want = want * passages.P + words[i : n - k + 1 + i]
+                assert (passages.rolled(words, k) == want).all()
+                assert (passages.least_of(words, k) == [words[i : i + k].min() for i in range(n - k + 1)]).all()
+        some = np.unique(words[::3])
+        assert (passages.among(words, some) == np.isin(words, some)).all() and not passages.among(words, some[:0]).any()
+        found, places = passages.whole_windows(words, np.zeros(0, np.uint64), passages.PassageParams())
+        assert len(found) == len(places) == 0
