@@ -1,20 +1,27 @@
 """Keys and predicates of catalog text: normalization, metadata and file name keys, variants, fuzzy equality.
 
-All are column expressions but NFC, which Spark lacks: an Arrow UDF that texts of ASCII bypass.
+All are column expressions but NFC, which Spark lacks: an Arrow UDF that texts of ASCII bypass. A UDF in a plan still gets every row; ``ascii_apart``
+keeps rows of ASCII from it.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Endings that count as audio files, of titles and of scans.
 TITLE_EXTENSIONS = ("mp3", "flac", "m4a", "ogg", "opus", "wav", "wma", "aac", "ape", "wv")
 SCAN_EXTENSIONS = ("mp3", "flac", "m4a", "aac", "ogg", "opus", "wav", "wma", "aiff", "aif", "ape", "wv", "mpc", "mp4", "alac", "dsf")
 
+#: Whether all texts at hand are known to be ASCII.
+ASCII = ContextVar("ASCII", default=False)
+
 SPACE = r"[\s ]+"
 
 
@@ -26,13 +33,32 @@ def composed(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
+def is_ascii(s: Column | str) -> Column:
+    """As many bytes as characters; null counts as ASCII."""
+    return F.coalesce(F.octet_length(_c(s)) == F.length(_c(s)), F.lit(True))
+
+
 def nfc(s: Column | str) -> Column:
     """Canonical composition. Only texts with characters beyond ASCII leave the JVM."""
     s = _c(s)
-    plain = s.rlike(r"^[\x00-\x7F]*$")
+    if ASCII.get():
+        return s
+    plain = is_ascii(s)
     return F.when(s.isNull() | plain, s).otherwise(F.pandas_udf(composed, "string")(F.when(~plain, s)))
 
 
+def ascii_apart(rows: DataFrame, texts: list[str], f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``f(rows)``, for an ``f`` that builds columns of single rows. Rows whose ``texts``, all that ``f`` composes, are ASCII come without the UDF, as
+    ASCII is its own composition."""
+    plain = reduce(lambda x, y: x & y, map(is_ascii, texts))
+    known = ASCII.set(True)
+    try:
+        ascii_rows = f(rows.where(plain))
+    finally:
+        ASCII.reset(known)
+    return ascii_rows.unionByName(f(rows.where(~plain)))
+
+
 def strip(s: Column | str) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(_c(s), r"^\s+|\s+$", "")

@@ -2,7 +2,9 @@
 
 import random
 import re
+import unicodedata
 
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -322,6 +324,30 @@ def test_unindexed_and_failures_send_no_catalog_through_the_driver(spark, sf):
 SIDE = "id long, head long, keys array<string>, artist string, title string, album string, d int"
 
 
+def test_composition_gets_no_row_of_ascii(spark, monkeypatch):
+    """Only rows with other texts meet the UDF; both kinds have equal keys as before."""
+    rows = lambda artists, i, path: spark.createDataFrame([(n, f" {a} ", "Unknown Album", f"0{n} - T|{a}.MP3", 1234, f"/m/{a}/01. {a} [x].flac" if n % 2 else None) for n, a in enumerate(artists)], f"{i} long, artist string, album string, title string, duration_ms int, {path} string")
+    artists = ["Ann", "Cafe\u0301", "Caf\u00e9", "B & C"]
+    t, e = rows(artists, "track_id", "file_path"), rows([*artists, None], "file_id", "path")
+    built = lambda: [sorted(map(repr, d.collect())) for d in (link.catalog(t), link.library(e))]
+
+    def refuse(s: pd.Series) -> pd.Series:
+        raise ValueError("a row of ASCII")
+
+    with monkeypatch.context() as m:
+        m.setattr(T, "composed", refuse)
+        ascii_rows = [link.catalog(t.where("track_id IN (0, 3)")), link.library(e.where("file_id IN (0, 3, 4)"))]
+        assert [len(d.collect()) for d in ascii_rows] == [2, 3]
+
+    apart = built()
+    field = lambda x: unicodedata.normalize("NFC", x.lower().strip().replace("|", "/"))
+    keys = [r.metadata_key for r in link.catalog(t).orderBy("track_id").collect()]
+    assert keys == [f"{field(a)}|unknown album|{field(f'0{n} - T|{a}.MP3')}|1200" for n, a in enumerate(artists)]
+    with monkeypatch.context() as m:
+        m.setattr(T, "ascii_apart", lambda d, texts, f: f(d))
+        assert built() == apart
+
+
 def in_choice(mine, other):
     """Pairs of (id, head, keys, artist, title, album, d, order) and (id, head, keys, artist, title, album, d) rows by one choice after another."""
     keys = [{r[1]: set(r[2]) for r in side if r[2] is not None} for side in (mine, other)]
