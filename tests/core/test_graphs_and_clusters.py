@@ -127,3 +127,29 @@ def test_walk_lists_stay_in_tasks(spark, monkeypatch):
     assert select.walk_lists(e, tracks.union(tracks), begin, 0.4, 9, 3, 2) is None
     assert select.walk_lists(e.limit(0), tracks, begin, 0.4, 9, 3, 2).count() == 0
     assert select.walk_lists(e, tracks.limit(0), begin, 0.4, 9, 3, 2).count() == 0
+
+
+def test_walks_hold_a_few_numbers_for_each_node(spark):
+    """A graph fits a task by its edges and tracks, however many ways lead over a hub; walks over part of it, over hubs and straight back are those of brute force."""
+    n = 90
+    rows = sorted({(i, 0) for i in range(1, n)} | {(0, i) for i in range(1, n, 3)} | {(i, (7 * i) % n) for i in range(1, n) if (7 * i) % n != i} | {(n, n + 1), (n + 1, n), (n + 1, n + 2)})
+    graph_ = knn.Graph(np.array([a for a, _ in rows]), np.array([b for _, b in rows]), np.ones(len(rows), bool))
+    for alpha, steps in ((0.4, 9), (0.5, 100)):
+        starts = [graph_.place(s) for s in (0, 5, n)]
+        mass, came = graph_.walks(starts, alpha, steps, 1e-12)
+        for i, s in enumerate((0, 5, n)):
+            want = walk([(*r, 1.0) for r in rows], s, alpha, steps)
+            got = {int(graph_.ids[at]): mass[at, i] for at in np.flatnonzero(came[:, i]) if graph_.ids[at] != s}
+            assert {k for k, x in want.items() if x > 0} == set(got) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+        part = graph_.reached([graph_.place(n)])
+        assert graph_.ids[part].tolist() == [n, n + 1, n + 2]
+        alone, _ = graph_.part(part).walks([0], alpha, steps, 1e-12)
+        assert np.allclose(alone[:, 0], mass[part, 2], rtol=1e-12)
+    assert graph_.hops(graph_.place(5), np.array([graph_.place(x) for x in (5, 0, 4, n)])).tolist() == [0, 1, 2, -1]
+    e = spark.createDataFrame([(*r, 1.0) for r in rows], "src long, dst long, weight double")
+    tracks = spark.createDataFrame([(i, f"A{i % 6}") for i in range(n)], "id long, artist string")
+    begin = spark.createDataFrame([("a", 5)], "query_id string, node long")
+    found = select.walk_lists(e, tracks, begin, 0.4, 9, 3, 2, whole=64 * (len(rows) + n))
+    assert found is not None
+    got, want = (sorted((x["position"], x["id"], x["graph_hops"]) for x in d.collect()) for d in (found, radio.walked_together(tracks, begin, radio.RadioConfig(tracks=9, restart=0.4, per_artist=3, spacing=2), e)))
+    assert len(got) == len(want) > 3 and [x[2] for x in got] == [x[2] for x in want]
