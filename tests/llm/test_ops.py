@@ -266,6 +266,37 @@ def test_passage_whose_parts_other_documents_hold(spark):
     assert [(g["doc_a"], g["start_a"], g["end_a"], g["doc_b"], g["start_b"], g["end_b"], g["n_same"]) for g in got] == [(90, 1, 51, 0, 30, 80, 50)]
 
 
+@pytest.mark.parametrize("most", [8192, 5])
+def test_edited_passage_whose_seeds_other_documents_hold(spark, monkeypatch, most):
+    """No run of 50 words is equal, and at each seed other documents stand between the two."""
+    monkeypatch.setattr(passages, "ALL", most)
+    r = random.Random(10)
+    word = lambda: f"w{r.randrange(50_000)}"
+    passage = [word() for _ in range(60)]
+    edited = [*passage[:30], word(), *passage[31:]]
+    texts = {0: [*[word() for _ in range(30)], *passage, word()], 90: [word(), *edited, *[word() for _ in range(40)]]}
+    for i in range(1, 90):
+        at = (i * 7) % 47
+        texts[i] = [*[word() for _ in range(30)], *(passage if i % 2 else edited)[at : at + 14], *[word() for _ in range(30)]]
+    got = [g.asDict() for g in passages.repeated(docs_of(spark, [(i, " ".join(t)) for i, t in texts.items()])).collect()]
+    assert [(g["doc_a"], g["start_a"], g["end_a"], g["doc_b"], g["start_b"], g["end_b"], g["n_same"]) for g in got] == [(90, 1, 61, 0, 30, 90, 59)]
+
+
+def test_what_may_hold_a_passage():
+    r = np.random.default_rng(3)
+    for n, bits in ((40, 4096), (300, 64)):
+        x, y = ([np.unique(r.integers(0, n, r.integers(0, 30)).astype("<u4")) for _ in range(k)] for k in (37, 150))
+        passages.BITS, kept = bits, passages.BITS
+        found = [pair for p, q in passages.may_hold([t.tobytes() for t in x], [t.tobytes() for t in y], lambda a, b: np.ones((len(x[a]), len(y[b])), bool), 6) for pair in zip(p.tolist(), q.tolist(), strict=True)]
+        passages.BITS = kept
+        assert sorted(found) == [(i, j) for i, t in enumerate(x) for j, u in enumerate(y) if len(np.intersect1d(t, u)) >= 6] and found
+    words, p = np.arange(1, 400, dtype=np.uint64) * passages.P, passages.PassageParams()
+    words[100:130] = words[99]
+    one, two = passages.around(words, [3, 200], p)
+    assert len(one) // 4 == 3 + p.k + 58 - 1 and len(two) // 4 == 2 * 58 + p.k - 1 and len(set(np.frombuffer(one, "<u4"))) == len(one) // 4
+    assert passages.around(words[:1], [0], p) == [b""] and passages.least_common(p) == 19
+
+
 def test_passages_in_long_texts_and_with_long_fuzzy_ends(spark):
     r = random.Random(12)
     word = lambda: f"w{r.randrange(50_000)}"
